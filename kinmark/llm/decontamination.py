@@ -207,7 +207,7 @@ class WindowJoin:
     def match(self, split: list[list[bytes]]) -> tuple[DocumentWords, np.ndarray, np.ndarray]:
         """Positions in the flat words and windows that occur there."""
         words, block = DocumentWords(split, self.block.vocabulary), self.block
-        at_all, row_all = [], []
+        at_all, row_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for w, keys, first, rows in self.by_width:
             at, found = words.shingles(w)
             k = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
@@ -300,21 +300,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
             empty = WindowBlock({}, np.full((0, window), -1), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             hits = _block_hits(docs, empty, ["doc_id"], text_col)
         return _verdicts(hits, names)
-    keyed = docs.select("doc_id", text_col, F.xxhash64("doc_id", text_col).alias("__row"))
-    passes = None
-    for block in blocks:
-        one = _block_hits(keyed, order_by_rarity(docs, block, text_col), ["doc_id", "__row"], text_col).dropDuplicates(["doc_id", "__row"])
-        passes = one if passes is None else passes.unionByName(one)
-    joined = passes.groupBy("doc_id", "__row").agg(
-        F.max("n_words").alias("n_words"), F.collect_list("bits").alias("all"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    )
+    keyed = docs.select("doc_id", text_col, _row_mark(text_col).alias("__row"))
     one_each = keyed.select("doc_id", "__row").join(
-        joined.withColumnsRenamed({"doc_id": "__id", "__row": "__r"}),
+        _joined_hits(keyed, docs, blocks, text_col),
         F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")),
     )
     return _verdicts(one_each.select("doc_id", "n_words", "all", "items"), names)
 
 
+def _row_mark(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _joined_hits(keyed: DataFrame, docs: DataFrame, blocks: list[WindowBlock], text_col: str) -> DataFrame:
+    """Hits of all blocks, one pass each, for every distinct id and text: ``(__id, __r, n_words, all, items)``."""
+    passes = None
+    for block in blocks:
+        hits = _block_hits(keyed, order_by_rarity(docs, block, text_col), ["doc_id", "__row"], text_col)
+        one = hits.dropDuplicates(["doc_id", "__row"])
+        passes = one if passes is None else passes.unionByName(one)
+    return (
+        passes.groupBy("doc_id", "__row")
+        .agg(
+            F.max("n_words").alias("n_words"),
+            F.collect_list("bits").alias("all"),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        )
+        .withColumnsRenamed({"doc_id": "__id", "__row": "__r"})
+    )
+
+
 def _verdicts(hits: DataFrame, names: list[str]) -> DataFrame:
     several = "all" in hits.columns
 
@@ -342,23 +357,29 @@ def _verdicts(hits: DataFrame, names: list[str]) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns as they were."""
     items = _items(benchmark)
-    blocks = [order_by_rarity(docs, b, text_col) for b in window_blocks(items, window)]
+    blocks = list(window_blocks(items, window))
     if not blocks:
         return docs
+    if len(blocks) > 1:
+        keyed = docs.select("doc_id", text_col, _row_mark(text_col).alias("__row"))
+        hits = _joined_hits(keyed, docs, blocks, text_col)
+        ids = hits.select(F.struct("__id", "__r").alias("doc_id"), "n_words", "all", "items")
+        clean = _verdicts(ids, ["" if i is None else str(i) for i, _ in items]).where("not contaminated")
+        clean = clean.select(F.col("doc_id.__id").alias("__id"), F.col("doc_id.__r").alias("__r"))
+        return docs.join(
+            clean, F.col("doc_id").eqNullSafe(F.col("__id")) & (_row_mark(text_col) == F.col("__r")), "left_semi"
+        )
+    block = order_by_rarity(docs, blocks[0], text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        joins = [WindowJoin(b) for b in blocks]
+        join = WindowJoin(block)
         keep = []
         for _, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
-            covered = None
-            for join in joins:
-                words, begin, row = join.match(split)
-                steps = np.zeros(len(words.ids) + 1, dtype=np.int64)
-                np.add.at(steps, begin, 1)
-                np.add.at(steps, begin + join.block.length[row], -1)
-                own = np.cumsum(steps[:-1]) > 0
-                covered = own if covered is None else covered | own
-            hit = np.bincount(words.doc[covered], minlength=len(split))
+            words, begin, row = join.match(split)
+            steps = np.zeros(len(words.ids) + 1, dtype=np.int64)
+            np.add.at(steps, begin, 1)
+            np.add.at(steps, begin + block.length[row], -1)
+            hit = np.bincount(words.doc[np.cumsum(steps[:-1]) > 0], minlength=len(split))
             keep += ((hit == 0) | (20 * hit < words.counts)).tolist()
         return batch.filter(pa.array(keep, pa.bool_()))
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmark.llm import (
+    chat,
+    common,
     decontamination,
     quality,
     sentencepiece_bpe,
@@ -14,8 +16,18 @@ from kinmark.llm import (
     simhash,
     substring_dedup,
     toxicity,
+    url_filter,
+    warc,
 )
 
+#: Host, path and verdict of the url rules.
+URL_RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -45,18 +57,58 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.format_conversations(turns).select(
+        "conv_id",
+        chat.read_turns(F.col("formatted")).alias("read"),
+        chat.trained_text(F.col("segments")).alias("loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+    digest = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages encoded as WARC records and stored twice, the second time with planted damage; the audit of both."""
+    primary = common.cut(warc.encode_pages(table(spark, sf_dir, "pages")))
+    replica = common.cut(warc.with_faults(primary))
+    return warc.audit(primary, replica)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     own = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
-    return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -234,7 +234,7 @@ def links(prints: DataFrame) -> DataFrame:
     )
     hot = found.where("src = dst").select(F.col("src").alias("fp"))
     midpoints = hot.select(
-        "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.expr("1L") * 0 + F.call_function("shiftleft", F.lit(1).cast("long"), i)))).alias("dst")
+        "fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))).alias("dst")
     )
     return found.where("src <> dst").unionByName(midpoints.select(F.col("fp").alias("src"), "dst"))
 
@@ -248,46 +248,34 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     Equal fingerprints are gathered into one row before any candidate search.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"]))
-    return prints.join(_component_of_print(prints), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
-def _component_of_print(prints: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` for every distinct fingerprint."""
+def _components(prints: DataFrame) -> DataFrame:
+    """``(fp, root, component_id)`` for every distinct fingerprint; ``root`` is the component's smallest one."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = connected_components(links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = cut(
-        distinct.join(reach, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    )
+    rooted = cut(distinct.join(reach, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return cut(rooted.join(named, "root").select("fp", "component_id"))
+    return cut(rooted.join(named, "root").select("fp", "root", "component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` of which each component keeps one: the row of its smallest id (among repeated rows of
-    that id, one of smallest text checksum)."""
-    # distinct rows of one id and text are one kept row: the checksum and a tie-breaker name it
+    """Rows of ``docs`` of which each component keeps one: the row of its smallest id (null ids last; of several
+    rows of that id, the one whose text has the smallest checksum). All columns stay as they were."""
+    id_, mark = F.col(id_col), F.coalesce(F.xxhash64(text_col), F.lit(0))
     keyed = cut(
-        fingerprints(
-            docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")),
-            ["doc_id", "mark"],
-        )
+        fingerprints(docs.select(id_.alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text")), ["doc_id", "mark"])
     )
-    comps = keyed.join(_component_of_print(keyed.select("doc_id", "fp")), "fp")
     chosen = cut(
-        comps.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id")
-        .agg(F.min("mark").alias("__mark"))
-        .withColumnRenamed("component_id", "__id")
-    )
-    kept = docs.join(
-        chosen,
-        F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")),
-        "left_semi",
+        keyed.join(_components(keyed.select("doc_id", "fp")).select("fp", "root"), "fp")
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
+        .select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"))
     )
-    return kept.dropDuplicates([id_col]) if _has_repeats(chosen, docs, id_col, text_col) else kept
-
-
-def _has_repeats(chosen: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> bool:
-    """Whether some id and text occur in more than one row (then one row of them stays)."""
-    ids = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("m"))
-    return not ids.groupBy("i", "m").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    kept = docs.join(chosen, id_.eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
+    unique = keyed.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if unique:
+        return kept
+    # rows repeated with id and text: one of each stays
+    return kept.withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
