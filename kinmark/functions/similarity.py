@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinmark.functions.text import char_ngrams
 
@@ -104,27 +105,30 @@ def jaro_winkler(a: str, b: str, prefix_weight: float = 0.1) -> float:
     return base + prefix * prefix_weight * (1.0 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_winkler_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lcs_ratio_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def common_subsequence_column(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_subsequence(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-@F.pandas_udf("name_jw double, addr_jw double, name_lcs double")
+_TEXTS = T.StructType([T.StructField(c, T.DoubleType()) for c in ("name_jw", "addr_jw", "name_lcs")])
+
+
+@F.pandas_udf(_TEXTS)
 def pair_texts(n1: pd.Series, n2: pd.Series, a1: pd.Series, a2: pd.Series) -> pd.DataFrame:
     """The three similarities of a pair that no built-in has, in one crossing to Python."""
     rows = [

@@ -17,6 +17,12 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once: a lambda variable stands for it wherever the body uses it, where plain
+    nesting would repeat the whole expression at every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def swap(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 
@@ -28,8 +34,9 @@ def strip(c: Column | str) -> Column:
 
 def safe_str(c: Column | str) -> Column:
     """Stripped text; null and the words for null become empty."""
-    text = strip(F.coalesce(_column(c), F.lit("")))
-    return F.when(F.lower(text).isin(*NULL_WORDS), "").otherwise(text)
+    return let(
+        strip(F.coalesce(_column(c), F.lit(""))), lambda t: F.when(F.lower(t).isin(*NULL_WORDS), "").otherwise(t)
+    )
 
 
 @lru_cache(maxsize=1)
@@ -51,28 +58,34 @@ def _ascii_images() -> tuple[str, str, dict[str, str]]:
 
 def to_ascii(c: Column) -> Column:
     """Compatibility decomposition, then ASCII alone. Text that is ASCII already skips all of it."""
+    return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), _to_ascii(t)).otherwise(t))
+
+
+def _to_ascii(c: Column) -> Column:
     single, images, several = _ascii_images()
     table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     expanded = F.array_join(
         F.transform(F.regexp_extract_all(c, F.lit(r"(?s)."), F.lit(0)), lambda x: F.coalesce(F.element_at(table, x), x)), ""
     )
     wide = F.when(c.rlike("[" + "".join(several) + "]"), expanded).otherwise(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(wide, single, images), r"[^\x00-\x7F]", "")).otherwise(c)
+    return F.regexp_replace(F.translate(wide, single, images), r"[^\x00-\x7F]", "")
 
 
 def normalize_text(c: Column | str) -> Column:
     """Lower-case ASCII words joined by single spaces. Not idempotent: ``(nan)`` gives ``nan``, which gives nothing."""
-    text = safe_str(c)
-    indic = text
-    for word, latin in INDIC_KEYWORDS.items():
-        indic = swap(indic, word, f" {latin} ")
-    text = F.lower(to_ascii(F.when(text.rlike(r"[\x{0900}-\x{097F}]"), indic).otherwise(text)))
+    text = F.lower(to_ascii(let(safe_str(c), lambda t: F.when(t.rlike(r"[\x{0900}-\x{097F}]"), _indic(t)).otherwise(t))))
     for symbol, word in (("&", " and "), ("+", " plus "), ("@", " at ")):
         text = swap(text, symbol, word)
     text = F.regexp_replace(text, r"\b(\d+)(?:st|nd|rd|th)\b", "$1")
     return F.trim(F.regexp_replace(text, r"[^a-z0-9]+", " "))
 
 
+def _indic(text: Column) -> Column:
+    for word, latin in INDIC_KEYWORDS.items():
+        text = swap(text, word, f" {latin} ")
+    return text
+
+
 def words(normalized: Column) -> Column:
     """Words of a normalised text."""
     return F.filter(F.split(normalized, " "), lambda w: w != "")
@@ -90,13 +103,15 @@ def standardize_address_text(c: Column | str) -> Column:
 
 def normalize_country(c: Column | str) -> Column:
     """Upper-case country; ``UNKNOWN`` where nothing is left."""
-    name = F.upper(normalize_text(c))
-    return F.when(name == "", UNKNOWN_COUNTRY).otherwise(name)
+    return let(F.upper(normalize_text(c)), lambda n: F.when(n == "", UNKNOWN_COUNTRY).otherwise(n))
 
 
 def soundex(word: Column | str) -> Column:
     """Four-character code in which vowels, h, w, y and digits all end a run of one digit."""
-    w = F.upper(_column(word))
+    return let(F.upper(_column(word)), _soundex)
+
+
+def _soundex(w: Column) -> Column:
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     groups = {"BFPV": "1", "CGJKQSXZ": "2", "DT": "3", "L": "4", "MN": "5", "R": "6"}
     digit = {x: d for group, d in groups.items() for x in group}
@@ -111,8 +126,9 @@ def soundex(word: Column | str) -> Column:
 
 def char_ngrams(c: Column, n: int) -> Column:
     """All n-grams of a text in order; a shorter text is its own, an empty one has none."""
-    return (
-        F.when(c == "", F.array().cast("array<string>"))
-        .when(F.length(c) < n, F.array(c))
-        .otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n))))
+    return let(
+        c,
+        lambda t: F.when(t == "", F.array().cast("array<string>"))
+        .when(F.length(t) < n, F.array(t))
+        .otherwise(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))),
     )

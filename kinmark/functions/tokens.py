@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinmark.functions.fixed_values import ADDR_STOPWORDS, LEGAL_STOPWORDS
-from kinmark.functions.text import char_ngrams, normalize_text, words
+from kinmark.functions.text import char_ngrams, let, normalize_text, words
 
 
 def name_tokens(name: Column | str, min_length: int = 2) -> Column:
     """``n_`` words that are no legal form, ``n_acr_`` of all short words of a name of several, or else the first
     of the longest words. A list: repeated words repeat."""
-    return name_tokens_of(words(normalize_text(name)), min_length)
+    return let(words(normalize_text(name)), lambda parts: name_tokens_of(parts, min_length))
 
 
 def name_tokens_of(parts: Column, min_length: int = 2) -> Column:
@@ -21,10 +21,20 @@ def name_tokens_of(parts: Column, min_length: int = 2) -> Column:
         lambda w: F.concat(F.lit("n_"), w),
     )
     short = F.array_join(F.filter(parts, lambda w: F.length(w) <= 2), "")
-    acronym = (F.size(parts) >= 2) & (F.length(short) >= 2) & ~short.isin(*sorted(LEGAL_STOPWORDS))
-    found = F.when(acronym, F.concat(plain, F.array(F.concat(F.lit("n_acr_"), short)))).otherwise(plain)
+    acronym = let(
+        short,
+        lambda x: F.when(
+            (F.size(parts) >= 2) & (F.length(x) >= 2) & ~x.isin(*sorted(LEGAL_STOPWORDS)),
+            F.array(F.concat(F.lit("n_acr_"), x)),
+        ).otherwise(F.array().cast("array<string>")),
+    )
     longest = F.array_max(F.transform(parts, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
-    return F.when((F.size(found) > 0) | (F.size(parts) == 0), found).otherwise(F.array(F.concat(F.lit("n_"), longest)))
+    return let(
+        F.concat(plain, acronym),
+        lambda found: F.when((F.size(found) > 0) | (F.size(parts) == 0), found).otherwise(
+            F.array(F.concat(F.lit("n_"), longest))
+        ),
+    )
 
 
 def address_parts(parts: Column) -> Column:
@@ -40,7 +50,7 @@ def address_parts(parts: Column) -> Column:
 
 def address_tokens(address: Column | str) -> Column:
     """``num_`` and ``w_`` tokens, then ``sh_`` of each two that follow one another. A list: repeats stay."""
-    return address_tokens_of(address_parts(words(normalize_text(address))))
+    return let(address_parts(words(normalize_text(address))), address_tokens_of)
 
 
 def address_tokens_of(kept: Column) -> Column:

@@ -38,7 +38,7 @@ def base(source: str = DOCUMENTS, raw: bool = False) -> str:
     tokens = f"""
 n1 AS (SELECT *, {_words(_norm(name))} AS bw, {_words(_norm(address))} AS baw, {_words(_norm("n"))} AS nw, {_words(_norm("a"))} AS aw FROM e1),
 n2 AS (SELECT *, {_kept("baw")} AS bclean, {_kept("aw")} AS clean, array_to_string(bw, '') AS bare FROM n1),
-e AS (SELECT *, {_name_tokens("bw")} AS bnt, {_name_tokens("nw")} AS nt, {_address_tokens("bclean")} AS bat, {_address_tokens("clean")} AS at,
+e AS (SELECT *, {_name_tokens("bw")} AS bnt, {_name_tokens("nw")} AS nt, {_address_tokens("bclean")} AS bat, {_address_tokens("clean")} AS adt,
   CASE WHEN bare = '' THEN []::VARCHAR[] WHEN length(bare) < 4 THEN ['ng_' || bare]
     ELSE list_transform(range(1, length(bare) - 2), lambda i: 'ng_' || substr(bare, i, 4)) END AS ng FROM n2)"""
     return f"""WITH e0 AS ({source}),
@@ -191,7 +191,7 @@ _FEATURES = {
 
 PAIRS = f"""
 pair0 AS (SELECT t.*, x.n AS n1, y.n AS n2, x.a AS a1, y.a AS a2, x.c AS c1, y.c AS c2, list_distinct(x.nt) AS N1_, list_distinct(y.nt) AS N2_,
-  list_distinct(x.at) AS A1_, list_distinct(y.at) AS A2_ FROM top t JOIN e x ON x.entity_id = t.s1_id JOIN e y ON y.entity_id = t.cand_id),
+  list_distinct(x.adt) AS A1_, list_distinct(y.adt) AS A2_ FROM top t JOIN e x ON x.entity_id = t.s1_id JOIN e y ON y.entity_id = t.cand_id),
 pair AS (SELECT *, {_jw("n1", "n2")} AS jw, CASE WHEN a1 = '' OR a2 = '' THEN 0.0 ELSE {_jw("a1", "a2")} END AS ajw,
   {_of("A1_", "num_")} AS h1, {_of("A2_", "num_")} AS h2 FROM pair0)"""
 
@@ -266,8 +266,8 @@ def oracle_sql() -> dict[str, str]:
         "norm_country": f"{base(UNKNOWNS)} SELECT entity_id, c AS country FROM e",
         "country_partitions": f"{base(UNKNOWNS)} SELECT DISTINCT c AS country FROM e",
         "name_tokens": f"{base()} SELECT entity_id, array_to_string(nt, ' ') AS tokens FROM e",
-        "address_tokens": f"{base()} SELECT entity_id, array_to_string(at, ' ') AS tokens FROM e",
-        "address_shingles": f"{base(PARTS)} SELECT entity_id, array_to_string({_of('at', 'sh_')}, ' ') AS shingles FROM e",
+        "address_tokens": f"{base()} SELECT entity_id, array_to_string(adt, ' ') AS tokens FROM e",
+        "address_shingles": f"{base(PARTS)} SELECT entity_id, array_to_string({_of('adt', 'sh_')}, ' ') AS shingles FROM e",
         "name_ngrams": f"{base()} SELECT entity_id, array_to_string(ng, ' ') AS ngrams FROM e",
         "soundex_codes": f"{base()} SELECT entity_id, {soundex_sql('string_split(n, chr(32))[1]')} AS code FROM e",
         "token_counts": f"{base()},{blocking(DEFAULT)} SELECT part, token, post_count FROM cnt",
