@@ -9,6 +9,7 @@ from kinmark.functions import similarity as sim
 from kinmark.functions.fixed_values import FEATURE_NAMES, NOT_IN_28, UNKNOWN_COUNTRY
 from kinmark.functions.text import soundex, words
 from kinmark.functions.tokens import house_numbers
+from kinmark.workers import let_workers_import
 
 _COLUMNS = ("n", "a", "c", "feat_name_toks", "feat_addr_toks")
 
@@ -25,8 +26,8 @@ def pair_rows(candidates: DataFrame, entities: DataFrame) -> DataFrame:
             entities.select(
                 F.col("entity_id").alias(id_name),
                 *[F.col(c).alias(f"{c}{k}") for c in _COLUMNS[:3]],
-                F.array_distinct("feat_name_toks").alias(f"N{k}"),
-                F.array_distinct("feat_addr_toks").alias(f"A{k}"),
+                F.array_distinct("feat_name_toks").alias(f"name_set{k}"),
+                F.array_distinct("feat_addr_toks").alias(f"addr_set{k}"),
                 soundex(F.element_at(F.split("n", " "), 1)).alias(f"sx{k}"),
             )
         )
@@ -36,7 +37,7 @@ def pair_rows(candidates: DataFrame, entities: DataFrame) -> DataFrame:
 def with_features(pairs: DataFrame) -> DataFrame:
     """``pairs`` plus the 33 features and ``name_len_diff``."""
     n1, n2, a1, a2 = (F.col(c) for c in ("n1", "n2", "a1", "a2"))
-    N1, N2, A1, A2 = (F.col(c) for c in ("N1", "N2", "A1", "A2"))
+    names1, names2, addrs1, addrs2 = (F.col(c) for c in ("name_set1", "name_set2", "addr_set1", "addr_set2"))
 
     def of_kind(tokens: Column, prefix: str) -> Column:
         return F.filter(tokens, lambda t: t.startswith(prefix))
@@ -44,15 +45,16 @@ def with_features(pairs: DataFrame) -> DataFrame:
     def cross(source: Column, target: Column) -> Column:
         return F.coalesce(F.exists(words(source), lambda w: (F.length(w) >= 4) & F.contains(target, w)), F.lit(False))
 
-    h1, h2 = house_numbers(A1), house_numbers(A2)
+    h1, h2 = house_numbers(addrs1), house_numbers(addrs2)
     both_addr = (a1 != "") & (a2 != "")
     shared_numbers = F.size(F.array_intersect(h1, h2))
+    let_workers_import(pairs.sparkSession)
     texts = pairs.withColumn("__t", sim.pair_texts(n1, n2, a1, a2))
     jw, ajw = F.col("__t.name_jw"), F.col("__t.addr_jw")
     columns = {
         "name_exact_match": _flag((n1 != "") & (n1 == n2)),
-        "name_jaccard": sim.jaccard(N1, N2),
-        "name_containment": sim.containment(N1, N2),
+        "name_jaccard": sim.jaccard(names1, names2),
+        "name_containment": sim.containment(names1, names2),
         "name_ngram_jaccard_3": sim.ngram_jaccard(n1, n2, 3),
         "name_ngram_jaccard_4": sim.ngram_jaccard(n1, n2, 4),
         "name_edit_sim": sim.edit_similarity(n1, n2),
@@ -60,29 +62,29 @@ def with_features(pairs: DataFrame) -> DataFrame:
         "name_jaro_winkler": jw,
         "name_lcs_ratio": F.col("__t.name_lcs"),
         "name_len_ratio": sim.length_ratio(n1, n2),
-        "name_acronym_match": _flag(F.arrays_overlap(of_kind(N1, "n_acr_"), of_kind(N2, "n_acr_"))),
+        "name_acronym_match": _flag(F.arrays_overlap(of_kind(names1, "n_acr_"), of_kind(names2, "n_acr_"))),
         "name_prefix_match": _flag(
             (n1 != "") & (n2 != "") & (n1.startswith(F.substring(n2, 1, 4)) | n2.startswith(F.substring(n1, 1, 4)))
         ),
         "name_soundex_match": _flag((F.col("sx1") != "") & (F.col("sx1") == F.col("sx2"))),
         "addr_null": _flag(a2 == ""),
         "addr_exact_match": _flag((a1 != "") & (a1 == a2)),
-        "addr_jaccard": sim.jaccard(A1, A2),
-        "addr_containment": sim.containment(A1, A2),
-        "addr_word_jaccard": sim.jaccard(of_kind(A1, "w_"), of_kind(A2, "w_")),
-        "addr_word_containment": sim.containment(of_kind(A1, "w_"), of_kind(A2, "w_")),
+        "addr_jaccard": sim.jaccard(addrs1, addrs2),
+        "addr_containment": sim.containment(addrs1, addrs2),
+        "addr_word_jaccard": sim.jaccard(of_kind(addrs1, "w_"), of_kind(addrs2, "w_")),
+        "addr_word_containment": sim.containment(of_kind(addrs1, "w_"), of_kind(addrs2, "w_")),
         "addr_edit_sim": F.when(both_addr, sim.edit_similarity(a1, a2)).otherwise(0.0),
         "addr_jaro_winkler": ajw,
         "addr_house_num_match": F.when((F.size(h1) == 0) & (F.size(h2) == 0), 0.5).otherwise(_flag(shared_numbers > 0)),
         "addr_house_num_conflict": _flag((F.size(h1) > 0) & (F.size(h2) > 0) & (shared_numbers == 0)),
         "addr_house_num_overlap_count": shared_numbers.cast("double"),
-        "addr_shingle_overlap_count": F.size(F.array_intersect(of_kind(A1, "sh_"), of_kind(A2, "sh_"))).cast("double"),
+        "addr_shingle_overlap_count": F.size(F.array_intersect(of_kind(addrs1, "sh_"), of_kind(addrs2, "sh_"))).cast("double"),
         "addr_len_ratio": sim.length_ratio(a1, a2),
         "name_in_addr_cross_match": _flag(cross(n1, a2)),
         "addr_in_name_cross_match": _flag(cross(a1, n2)),
         "joint_name_addr_sim": F.when(a2 != "", (jw + ajw) / 2).otherwise(jw),
         "harmonic_mean_jw": F.when((a2 != "") & (jw + ajw > 0), 2 * jw * ajw / (jw + ajw)).otherwise(jw),
-        "shared_tokens_total_count": (F.size(F.array_intersect(N1, N2)) + F.size(F.array_intersect(A1, A2))).cast("double"),
+        "shared_tokens_total_count": (F.size(F.array_intersect(names1, names2)) + F.size(F.array_intersect(addrs1, addrs2))).cast("double"),
         "country_match": _flag(
             (F.col("c1") == F.col("c2")) | (F.col("c1") == UNKNOWN_COUNTRY) | (F.col("c2") == UNKNOWN_COUNTRY)
         ),

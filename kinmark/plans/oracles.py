@@ -318,7 +318,7 @@ SELECT CAST(count(*) AS DOUBLE) AS num_s1, CAST(sum(m) AS DOUBLE) AS total_true_
   sum(kept) / sum(m) AS blocking_recall, 100 * (sum(kept) / sum(m)) AS blocking_recall_pct FROM per"""
     out["search_space_reduction"] = f"""{base()},{blocking(TIGHT)}, k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cand),
 s AS (SELECT count(*) FILTER (WHERE role = 'S1') AS a, count(*) FILTER (WHERE role <> 'S1') AS b FROM e)
-SELECT n AS candidates, 100.0 * (1.0 - n / (CAST(a AS DOUBLE) * CAST(b AS DOUBLE))) AS reduction_pct, n / 100000.0 AS candidate_growth, 0.95 - 0.9 AS recall_change FROM k, s"""
+SELECT n AS candidates, 100.0 * (1.0 - n / (CAST(a AS DOUBLE) * CAST(b AS DOUBLE))) AS reduction_pct, n / 100000.0 AS candidate_growth, CAST(0.95 AS DOUBLE) - CAST(0.9 AS DOUBLE) AS recall_change FROM k, s"""
     out["training_pairs"] = f"""{scored()},
 cut AS (SELECT s1_id, matches FROM (SELECT t.*, row_number() OVER (ORDER BY e.ordinal) AS rn, count(*) OVER () AS n FROM truth t JOIN e ON e.entity_id = t.s1_id) WHERE rn <= CAST(floor(n * 0.7) AS BIGINT)),
 true_pairs AS (SELECT s1_id, unnest(matches) AS cand_id FROM cut)
