@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from kinmark.workers import let_workers_import
+
 #: Rows per Arrow batch handed to Python. Text rows reach 100 KB and more, so the default of
 #: 10,000 rows would let one batch of long texts outgrow a worker.
 TEXT_BATCH_ROWS = 1000
@@ -69,9 +72,7 @@ def _drop_all() -> None:
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Keep Arrow batches of texts small (never raises a smaller setting), and let workers that share this
     folder import the package whatever their working folder is."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    let_workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
@@ -104,5 +105,30 @@ def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def row_count_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def blocks(all_texts: list[str], limit: int) -> Iterator[list[str]]:
+    """Runs of texts with at most ``limit`` characters together, or a single longer text."""
+    block, size = [], 0
+    for text in all_texts:
+        if block and size + len(text) > limit:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
+_claimed: dict = {}
+
+
+def claim(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches and tasks, made by ``make``. A worker serves one operator after
+    the other, so it keeps one such thing: another key releases the last one and returns its memory."""
+    if key not in _claimed:
+        if _claimed:
+            _claimed.clear()
+            gc.collect()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+        _claimed[key] = make()
+    return _claimed[key]

@@ -18,23 +18,22 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinmark.llm.common import arrow_map, texts
+from kinmark.llm.common import arrow_map, blocks, claim, texts
 
 SPACE = "▁"
 #: A word with its leading run of spaces.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 LONG_WORD = 400
 #: Words that a worker keeps encoded, in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Characters encoded together; a longer text is a block of its own.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -416,27 +415,9 @@ def _decode_bytes(raw: bytes) -> str:
         return "".join(out)
 
 
-def blocks(all_texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """Runs of texts with at most ``limit`` characters together, or a single longer text."""
-    block, size = [], 0
-    for text in all_texts:
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
-
-
-_loaded: dict[str, PieceModel] = {}
-
-
 def load_model(path: str) -> PieceModel:
     """The model at ``path``, read once per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = PieceModel(path)
-    return _loaded[path]
+    return claim(("pieces", path), lambda: PieceModel(path))
 
 
 def encode_documents(
@@ -452,7 +433,7 @@ def encode_documents(
     def run(batch: pa.RecordBatch) -> dict:
         model = load_model(model_path)
         ids, counts, id_digests, text_digests = [], [], [], []
-        for block in blocks(texts(batch, text_col)):
+        for block in blocks(texts(batch, text_col), BLOCK_CHARS):
             block_ids, block_counts = model.encode_all(block)
             counts.append(block_counts)
             if with_ids:

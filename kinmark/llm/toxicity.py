@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmark.llm.common import arrow_map, small_batches, texts
+from kinmark.llm.common import arrow_map, blocks, claim, small_batches, texts
 
 _U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -35,7 +36,7 @@ class FtrlParams:
     l1: float = 4.0
     l2: float = 0.1
     epochs: int = 10
-    max_share: float = 0.05
+    max_share: float = 0.10
     min_rows: int = 2
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
     sample_rows: int = 20_000
@@ -62,46 +63,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Features:
-    """Hashed feature numbers of texts; hashes of the words met are kept, up to a bound."""
+    """Hashed feature numbers of texts, a block of texts at a time; the words met are kept, up to a bound."""
 
     KEEP = 200_000
+    BLOCK_CHARS = 1_000_000
 
     def __init__(self, bits: int, prefixes: tuple[int, ...], weights: np.ndarray | None = None):
-        self.mask, self.prefixes, self.weights = _U((1 << bits) - 1), prefixes, weights
-        self.words: dict[str, tuple[int, list[int]]] = {}
+        self.bits, self.mask, self.prefixes, self.weights = bits, _U((1 << bits) - 1), prefixes, weights
+        self._forget()
 
-    def _word(self, word: str) -> tuple[int, list[int]]:
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.hashes = np.empty(0, dtype=_U)
+        self.singles = np.empty((0, 1 + len(self.prefixes)), dtype=np.int32)
+
+    def _learn(self, new: list[str]) -> None:
         digest = xxhash.xxh64_intdigest
-        own = digest(word.encode(), 1)
-        keys = [own] + [digest(word[:k].encode(), 10 + k) for k in self.prefixes if len(word) >= k]
-        found = (_mix(np.array(keys, dtype=_U)) & self.mask).tolist()
+        keys = np.zeros((len(new), 1 + len(self.prefixes)), dtype=_U)
+        keys[:, 0] = [digest(w, 1) for w in new]
+        long = np.fromiter(map(len, new), np.int64, len(new))
+        for c, k in enumerate(self.prefixes, 1):
+            keys[:, c] = [digest(w[:k], 10 + k) for w in new]
+        found = (_mix(keys) & self.mask).astype(np.int32)
+        for c, k in enumerate(self.prefixes, 1):
+            found[long < k, c] = -1
         if self.weights is not None:
-            found = [i for i in found if self.weights[i]]
-        return own, found
-
-    def of(self, text: str) -> np.ndarray:
-        """Distinct feature numbers, in order; with weights given, only those that have one."""
-        words = _WORD.findall(text.lower())
-        if not words:
-            return np.empty(0, dtype=np.int64)
+            found[self.weights[found] == 0] = -1
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.hashes = np.concatenate([self.hashes, keys[:, 0]])
+        self.singles = np.concatenate([self.singles, found])
+
+    def of(self, all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Text and feature number of every distinct feature of every text, in order; with weights given, only
+        of features that have one."""
+        split = [_WORD.findall(t.lower()) for t in all_texts]
+        flat = [w for words in split for w in words]
         if len(self.words) > self.KEEP:
-            self.words.clear()
-        known = self.words
-        single: set[int] = set()
-        for w in set(words):
-            hit = known.get(w)
-            if hit is None:
-                hit = known[w] = self._word(w)
-            if hit[1]:
-                single.update(hit[1])
-        h = np.array([known[w][0] for w in words], dtype=_U)
-        parts = [np.fromiter(single, np.int64, len(single))]
+            self._forget()
+        at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([flat[i] for i in missing])))
+            at[missing] = [self.words[flat[i]] for i in missing]
+        doc = np.repeat(np.arange(len(split)), [len(w) for w in split])
+        distinct = np.unique((doc << 32) | at)
+        single = self.singles[distinct & 0xFFFFFFFF].astype(np.int64)
+        rows, cols = np.nonzero(single >= 0)
+        parts = [((distinct[rows] >> 32) << self.bits) | single[rows, cols]]
+        h = self.hashes[at]
         with np.errstate(over="ignore"):
             for gap in (1, 2):
                 if len(h) > gap:
                     pair = (_mix(h[:-gap] * _U(2 * gap + 1) + h[gap:]) & self.mask).astype(np.int64)
-                    parts.append(pair if self.weights is None else pair[self.weights[pair] != 0])
-        return np.unique(np.concatenate(parts))
+                    use = doc[:-gap] == doc[gap:]
+                    if self.weights is not None:
+                        use &= self.weights[pair] != 0
+                    parts.append((doc[:-gap][use] << self.bits) | pair[use])
+        both = np.unique(np.concatenate(parts))
+        return both >> self.bits, both & ((1 << self.bits) - 1)
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, int]], params: FtrlParams) -> tuple[float, np.ndarray, np.ndarray]:
@@ -162,7 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams | None = None)
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits, prefixes)
         for batch in batches:
-            found = [features.of(t).astype(np.int32).tobytes() for t in texts(batch)]
+            found = []
+            for block in blocks(texts(batch), Features.BLOCK_CHARS):
+                doc, feature = features.of(block)
+                edges = np.searchsorted(doc, np.arange(len(block) + 1))
+                feature = feature.astype(np.int32)
+                found += [feature[a:b].tobytes() for a, b in zip(edges, edges[1:])]
             yield pa.RecordBatch.from_pydict(
                 {"__h": batch.column("__h"), "doc_id": batch.column("doc_id"), "__y": batch.column("__y"), "f": pa.array(found, pa.binary())}
             )
@@ -212,19 +236,19 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     return arrow_map(docs.select(id_col, text_col), run, f"doc_id {id_type}, score double, predicted int")
 
 
-_state: dict = {}
-
-
 def make_scorer(model: ToxicityModel):
-    key = hash((model.bits, model.bias, model.index.tobytes(), model.weight.tobytes()))
+    key = ("toxicity", hash((model.bits, model.bias, model.index.tobytes(), model.weight.tobytes())))
+
+    def make() -> Features:
+        return Features(model.bits, model.prefixes, model.dense())
 
     def scores(all_texts: list[str]) -> np.ndarray:
-        if _state.get("key") != key:
-            _state.update(key=key, weights=model.dense(), features=None)
-            _state["features"] = Features(model.bits, model.prefixes, _state["weights"])
-        weights, features = _state["weights"], _state["features"]
-        margins = np.array([model.bias + float(weights[features.of(t)].sum()) for t in all_texts])
-        return 1.0 / (1.0 + np.exp(-np.clip(margins, -35, 35)))
+        features = claim(key, make)
+        margins = []
+        for block in blocks(all_texts, Features.BLOCK_CHARS):
+            doc, feature = features.of(block)
+            margins.append(np.bincount(doc, weights=features.weights[feature], minlength=len(block)))
+        return 1.0 / (1.0 + np.exp(-np.clip(model.bias + np.concatenate(margins), -35, 35)))
 
     return scores
 

@@ -270,7 +270,7 @@ def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
     for i in range(600):
-        bad = i % 6 == 0
+        bad = i % 8 == 0
         words = prose(rng, 3).split()
         if bad:
             words.insert(rng.randrange(len(words)), "grumbl" + rng.choice(["e", "ing", "er", "ous"]))
