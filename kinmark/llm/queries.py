@@ -10,6 +10,7 @@ from kinmark.llm import (
     chat,
     common,
     decontamination,
+    oracles,
     quality,
     sentencepiece_bpe,
     sharding,
@@ -112,4 +113,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_chat_format": oracles.CHAT,
+        "op8_url_filter": oracles.url_filter(URL_RULES),
+        "op10_decontamination": oracles.DECONTAMINATION,
+    }
