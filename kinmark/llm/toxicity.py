@@ -36,7 +36,7 @@ class FtrlParams:
     l1: float = 4.0
     l2: float = 0.1
     epochs: int = 10
-    max_share: float = 0.10
+    max_share: float = 0.30
     min_rows: int = 2
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
     sample_rows: int = 20_000

@@ -137,3 +137,36 @@ def graph_components(edges: list[tuple]) -> dict:
                 out[n] = start
                 todo += around[n]
     return out
+
+
+def span_runs(words: list[list[str]], min_sentences: int, min_words: int) -> set[tuple[int, int]]:
+    """Sentence runs (start, end) that count as spans: the shortest from each sentence and up to each one."""
+    n, runs = len(words), set()
+
+    def enough(a: int, b: int) -> bool:
+        return b - a >= min_sentences and sum(len(w) for w in words[a:b]) >= min_words
+
+    for i in range(n):
+        runs.add(next(((i, e) for e in range(i, n + 1) if enough(i, e)), None))
+        runs.add(next(((s, i + 1) for s in range(i, -1, -1) if enough(s, i + 1)), None))
+    return {r for r in runs if r and r[1] - r[0] < 256}
+
+
+def without_repeats(docs: list[tuple[int, str | None]], split, min_sentences: int = 2, min_words: int = 20) -> dict[int, str | None]:
+    """Texts without the sentences inside any span that an earlier place (by id, then sentence) holds."""
+    first: dict[tuple[str, ...], tuple[int, int, int]] = {}
+    pieces = {i: split(t) if t else [] for i, t in docs}
+    spans = {}
+    for i, _ in sorted(docs, key=lambda d: d[0]):
+        words = [p.split() for p in pieces[i]]
+        for a, b in sorted(span_runs(words, min_sentences, min_words)):
+            # what is compared is the words of each sentence that has any
+            key = tuple(" ".join(w) for w in words[a:b] if w)
+            place = (i, a, b - a)
+            spans[place] = key
+            first[key] = min(first.get(key, place), place)
+    gone: dict[int, set[int]] = {}
+    for (i, a, n), key in spans.items():
+        if first[key] != (i, a, n):
+            gone.setdefault(i, set()).update(range(a, a + n))
+    return {i: t if i not in gone else "".join(p for k, p in enumerate(pieces[i]) if k not in gone[i]) for i, t in docs}
