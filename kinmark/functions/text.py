@@ -56,6 +56,13 @@ def _ascii_images() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(images), several
 
 
+@lru_cache(maxsize=4)
+def _map_sql(pairs: tuple[tuple[str, str], ...]) -> str:
+    """A literal map as SQL: one expression to parse instead of a literal to build for every entry."""
+    quoted = ["'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in pairs for x in pair]
+    return f"map({', '.join(quoted)})"
+
+
 def to_ascii(c: Column) -> Column:
     """Compatibility decomposition, then ASCII alone. Text that is ASCII already skips all of it."""
     return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), _to_ascii(t)).otherwise(t))
@@ -63,7 +70,7 @@ def to_ascii(c: Column) -> Column:
 
 def _to_ascii(c: Column) -> Column:
     single, images, several = _ascii_images()
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table = F.expr(_map_sql(tuple(several.items())))
     expanded = F.array_join(
         F.transform(F.regexp_extract_all(c, F.lit(r"(?s)."), F.lit(0)), lambda x: F.coalesce(F.element_at(table, x), x)), ""
     )
@@ -93,7 +100,7 @@ def words(normalized: Column) -> Column:
 
 def expand_abbreviations(normalized: Column) -> Column:
     """Street abbreviations of an already normalised address written out."""
-    table = F.create_map(*[F.lit(x) for pair in STREET_ABBREVIATIONS.items() for x in pair])
+    table = F.expr(_map_sql(tuple(STREET_ABBREVIATIONS.items())))
     return F.array_join(F.transform(words(normalized), lambda w: F.coalesce(F.element_at(table, w), w)), " ")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from kinmark.functions.fixed_values import ADDR_STOPWORDS, LEGAL_STOPWORDS
 from kinmark.functions.text import char_ngrams, let, normalize_text, words
 
 
+@lru_cache(maxsize=4)
+def _array_sql(values: frozenset[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in sorted(values)) + ")"
+
+
+def _in(word: Column, values: frozenset[str]) -> Column:
+    return F.array_contains(F.expr(_array_sql(values)), word)
+
+
 def name_tokens(name: Column | str, min_length: int = 2) -> Column:
     """``n_`` words that are no legal form, ``n_acr_`` of all short words of a name of several, or else the first
     of the longest words. A list: repeated words repeat."""
@@ -17,14 +28,14 @@ def name_tokens(name: Column | str, min_length: int = 2) -> Column:
 
 def name_tokens_of(parts: Column, min_length: int = 2) -> Column:
     plain = F.transform(
-        F.filter(parts, lambda w: (F.length(w) >= min_length) & ~w.isin(*sorted(LEGAL_STOPWORDS))),
+        F.filter(parts, lambda w: (F.length(w) >= min_length) & ~_in(w, LEGAL_STOPWORDS)),
         lambda w: F.concat(F.lit("n_"), w),
     )
     short = F.array_join(F.filter(parts, lambda w: F.length(w) <= 2), "")
     acronym = let(
         short,
         lambda x: F.when(
-            (F.size(parts) >= 2) & (F.length(x) >= 2) & ~x.isin(*sorted(LEGAL_STOPWORDS)),
+            (F.size(parts) >= 2) & (F.length(x) >= 2) & ~_in(x, LEGAL_STOPWORDS),
             F.array(F.concat(F.lit("n_acr_"), x)),
         ).otherwise(F.array().cast("array<string>")),
     )
@@ -42,7 +53,7 @@ def address_parts(parts: Column) -> Column:
     kept = F.transform(
         parts,
         lambda w: F.when(w.rlike("^[0-9]+$"), F.ltrim(w, F.lit("0"))).when(
-            (F.length(w) >= 3) & ~w.isin(*sorted(ADDR_STOPWORDS)), w
+            (F.length(w) >= 3) & ~_in(w, ADDR_STOPWORDS), w
         ),
     )
     return F.filter(kept, lambda w: w.isNotNull() & (w != ""))

@@ -24,9 +24,16 @@ FIXED = TIGHT.with_(partitioning="fixed", countries=("FR", "EN"))
 WHOLE = TIGHT.with_(partitioning="none")
 
 
+_plans: dict[tuple, DataFrame] = {}
+
+
 def documents(spark: SparkSession, sf: str, params: LinkParams = DEFAULT) -> DataFrame:
-    """Prepared documents. They feed probes, postings, ranking and features alike, so they are kept."""
-    return src.prepare(src.document_entities(spark, sf), params).persist(StorageLevel.MEMORY_AND_DISK)
+    """Prepared documents. They feed probes, postings, ranking and features alike, so they are kept; their plan,
+    some thousand expressions, is built once a session."""
+    key = (spark.sparkContext.applicationId, sf, params.address_form, params.ngram_size)
+    if key not in _plans:
+        _plans[key] = src.prepare(src.document_entities(spark, sf), params)
+    return _plans[key].persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _joined(array: Column, by: str = " ") -> Column:
