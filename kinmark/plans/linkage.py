@@ -45,7 +45,9 @@ def train(
     head, tail = training.head_split(truth, order, val_share)
     ranked = candidates(prepared, params).persist()
     pairs = training.training_pairs(ranked, head, prepared.where("role <> 'S1'"), negatives)
-    labelled = pair_features(pairs.select("s1_id", "cand_id"), prepared).join(pairs, ["s1_id", "cand_id"])
+    pairs.persist()
+    # the learner passes over its rows many times
+    labelled = pair_features(pairs.select("s1_id", "cand_id"), prepared).join(pairs, ["s1_id", "cand_id"]).persist()
     model = training.fit(labelled, boost)
     held = ranked.join(tail.select("s1_id"), "s1_id", "left_semi")
     scored = training.score(model, pair_features(held.select("s1_id", "cand_id"), prepared)).select("s1_id", "cand_id", "prob").persist()
@@ -53,7 +55,7 @@ def train(
     best = decide.best_point(grid).first()
     accepted = decide.within_margin(scored, best["threshold"], best["margin"], best["k"])
     measures = evaluate.pair_metrics(decide.predictions(accepted, tail), tail).first()
-    for df in (prepared, ranked, scored):
+    for df in (prepared, ranked, pairs, labelled, scored):
         df.unpersist()
     return model, {"threshold": best["threshold"], "margin": best["margin"], "k": best["k"], "macro_f05": best["macro_f05"], **measures.asDict()}
 

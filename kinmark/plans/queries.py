@@ -228,8 +228,9 @@ def gbt_scores(spark, sf):
     """A small model over the training pairs, and its scores of all ranked candidates."""
     rows = documents(spark, sf)
     pairs = training_pairs(spark, sf).persist()
-    labelled = features.pair_features(pairs.select("s1_id", "cand_id"), rows).join(pairs, ["s1_id", "cand_id"])
+    labelled = features.pair_features(pairs.select("s1_id", "cand_id"), rows).join(pairs, ["s1_id", "cand_id"]).persist()
     model = training.fit(labelled, training.BoostParams(rounds=5))
+    labelled.unpersist()
     pairs.unpersist()
     found = features.pair_features(_ranked(spark, sf).select("s1_id", "cand_id"), rows)
     return training.score(model, found).select("s1_id", "cand_id", "prob")

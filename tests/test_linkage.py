@@ -256,7 +256,7 @@ def business(spark, n=60):
 
 def test_train_infer_publish(spark, tmp_path):
     rows, truth = business(spark)
-    model, best = linkage.train(rows, truth, boost=training.BoostParams(rounds=5), val_share=0.3)
+    model, best = linkage.train(rows, truth, boost=training.BoostParams(rounds=2, depth=3), val_share=0.3)
     assert best["macro_f05"] > 0.8
     training.save_model(model, str(tmp_path / "m"), FEATURE_NAMES, {"top_n": 60}, best)
     again, sidecar = training.load_model(str(tmp_path / "m"), config={"top_n": 60})
