@@ -26,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id."""
+    """One document of each group of near duplicates (by fingerprints or five-word shingles), the one of smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmark.llm import shingles
 from kinmark.llm.common import arrow_map, cut, raw_texts, small_batches
 from kinmark.llm.graph import connected_components
 
@@ -251,10 +252,12 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return prints.join(_components(prints), "fp").select("doc_id", "fp", "component_id")
 
 
-def _components(prints: DataFrame) -> DataFrame:
-    """``(fp, root, component_id)`` for every distinct fingerprint; ``root`` is the component's smallest one."""
+def _components(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``(fp, root, component_id)`` for every distinct fingerprint; ``root`` is the component's smallest one.
+    ``more`` holds further edges between fingerprints."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    reach = connected_components(links(distinct)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    edges = links(distinct) if more is None else links(distinct).unionByName(more)
+    reach = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = cut(distinct.join(reach, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return cut(rooted.join(named, "root").select("fp", "root", "component_id"))
@@ -262,13 +265,15 @@ def _components(prints: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which each component keeps one: the row of its smallest id (null ids last; of several
-    rows of that id, the one whose text has the smallest checksum). All columns stay as they were."""
+    rows of that id, the one whose text has the smallest checksum). All columns stay as they were.
+
+    Texts link at 2 or fewer differing bits of their fingerprints, or at Jaccard 0.8 of their five-word shingles."""
     id_, mark = F.col(id_col), F.coalesce(F.xxhash64(text_col), F.lit(0))
-    keyed = cut(
-        fingerprints(docs.select(id_.alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text")), ["doc_id", "mark"])
-    )
+    narrow = docs.select(id_.alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
+    keyed = cut(shingles.sketches(narrow, ["doc_id", "mark"], fingerprint))
+    more = shingles.similar_links(keyed, narrow)
     chosen = cut(
-        keyed.join(_components(keyed.select("doc_id", "fp")).select("fp", "root"), "fp")
+        keyed.join(_components(keyed.select("doc_id", "fp"), more).select("fp", "root"), "fp")
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
         .select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"))
