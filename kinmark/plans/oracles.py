@@ -302,6 +302,31 @@ SELECT CASE WHEN p > 0 THEN tp / p ELSE 1.0 END AS pair_precision, CASE WHEN t >
     for kinds, name in (((("name",)), "block_name"), (("word", "num", "shingle"), "block_addr"), (("ngram",), "block_ngram")):
         params = TIGHT.with_(fallback=False)
         out[name] = f"{base()},{blocking(params, kinds)} SELECT s1_id, cand_id FROM cand"
+    # the statements so far have small caps; those of the default caps take their names
+    lines = "array_to_string(list(cand_id ORDER BY {}) FILTER (WHERE cand_id IS NOT NULL), ',')"
+    for end, names in (
+        ("_tight", (
+            "block_name", "block_addr", "block_ngram", "capped_tokens", "candidates_raw_addr", "candidates_unknown_pass",
+            "candidates_fixed_countries", "candidates_no_partition", "rank_counter_list_top50", "rank_counter_set_top8",
+        )),
+        ("_tiny", ("candidate_pairs_tsv", "candidate_pairs_ranked")),
+    ):
+        out |= {name + end: out.pop(name) for name in names}
+    cand, top = "SELECT s1_id, cand_id FROM cand", "SELECT s1_id, cand_id, weight, CAST(rank AS INTEGER) AS rank FROM top"
+    for kinds, name in ((("name",), "block_name"), (("word", "num", "shingle"), "block_addr"), (("ngram",), "block_ngram")):
+        out[name] = f"{base()},{blocking(DEFAULT, kinds)} {cand}"
+    limit = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in DEFAULT.caps().items()) + " END"
+    out |= {
+        "capped_tokens": f"{base()},{blocking(DEFAULT)} SELECT part, token, post_count FROM cnt WHERE post_count <= {limit}",
+        "candidates_raw_addr": f"{base(raw=True)},{blocking(DEFAULT)} {cand}",
+        "candidates_unknown_pass": f"{base(UNKNOWNS)},{blocking(DEFAULT, part=unknown_part)} {cand}",
+        "candidates_fixed_countries": f"{base()},{blocking(DEFAULT.with_(partitioning='fixed', countries=('FR', 'EN')))} {cand}",
+        "candidates_no_partition": f"{base()},{blocking(DEFAULT.with_(partitioning='none'))} {cand}",
+        "rank_counter_list_top50": f"{base()},{blocking(DEFAULT)},{counter_ranked(DEFAULT, 50, True)} {top}",
+        "rank_counter_set_top8": f"{base()},{blocking(DEFAULT)},{counter_ranked(DEFAULT, 8, False)} {top}",
+        "candidate_pairs_tsv": f"{base()},{blocking(DEFAULT)} SELECT x.entity_id AS source1_entity_id, coalesce({lines.format('cand_id')}, '') AS candidate_entity_ids FROM e x LEFT JOIN cand ON s1_id = x.entity_id WHERE x.role = 'S1' GROUP BY 1",
+        "candidate_pairs_ranked": f"{base()},{blocking(DEFAULT)},{ranked(60)} SELECT x.entity_id AS source1_entity_id, coalesce({lines.format('rank')}, '') AS candidate_entity_ids FROM e x LEFT JOIN top ON s1_id = x.entity_id WHERE x.role = 'S1' GROUP BY 1",
+    }
     for name, columns in sets.items():
         out[name] = features(columns)
     from kinmark.operators.features import BASELINE_20

@@ -19,9 +19,9 @@ from kinmark.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 FALLBACK_8 = TINY.with_(fallback_limit=8)
-RAW = TIGHT.with_(address_form="raw")
-FIXED = TIGHT.with_(partitioning="fixed", countries=("FR", "EN"))
-WHOLE = TIGHT.with_(partitioning="none")
+RAW = {"address_form": "raw"}
+FIXED = {"partitioning": "fixed", "countries": ("FR", "EN")}
+WHOLE = {"partitioning": "none"}
 
 
 _plans: dict[tuple, DataFrame] = {}
@@ -83,17 +83,17 @@ def token_counts(spark, sf):
     return blocking.token_counts(blocking.token_rows(targets, DEFAULT, "cand_id"))
 
 
-def capped_tokens(spark, sf):
-    return blocking.capped_tokens(token_counts(spark, sf), TIGHT)
+def _capped_tokens(spark, sf, params: LinkParams):
+    return blocking.capped_tokens(token_counts(spark, sf), params)
 
 
 def _candidates(spark, sf, params: LinkParams, kinds=None):
     return blocking.block(documents(spark, sf, params), params, kinds, has_unknown=False)
 
 
-def candidates_unknown_pass(spark, sf):
-    rows = src.prepare(src.with_some_unknown(src.document_entities(spark, sf)), TIGHT)
-    return blocking.block(rows, TIGHT)
+def _unknown_pass(spark, sf, params: LinkParams):
+    rows = src.prepare(src.with_some_unknown(src.document_entities(spark, sf)), params)
+    return blocking.block(rows, params)
 
 
 def _ranked(spark, sf, params: LinkParams = DEFAULT, n: int = 60):
@@ -101,8 +101,8 @@ def _ranked(spark, sf, params: LinkParams = DEFAULT, n: int = 60):
     return ranking.rank_by_overlap(blocking.block(rows, params, has_unknown=False), rows, n)
 
 
-def _counter_ranked(spark, sf, n: int, repeated: bool):
-    return ranking.rank_by_counter(documents(spark, sf), TIGHT, n, repeated).select("s1_id", "cand_id", "weight", "rank")
+def _counter_ranked(spark, sf, params: LinkParams, n: int, repeated: bool):
+    return ranking.rank_by_counter(documents(spark, sf), params, n, repeated).select("s1_id", "cand_id", "weight", "rank")
 
 
 # -- features -------------------------------------------------------------------------------------
@@ -243,12 +243,12 @@ def matching_results(spark, sf):
     return sinks.match_lines(_predicted(spark, sf), truth(spark, sf))
 
 
-def candidate_pairs_tsv(spark, sf):
-    return sinks.candidate_lines(_candidates(spark, sf, TINY), linkage.s1_ids(src.document_entities(spark, sf)))
+def _candidate_pairs(spark, sf, params: LinkParams):
+    return sinks.candidate_lines(_candidates(spark, sf, params), linkage.s1_ids(src.document_entities(spark, sf)))
 
 
-def candidate_pairs_ranked(spark, sf):
-    return sinks.candidate_lines(_ranked(spark, sf, TINY), linkage.s1_ids(src.document_entities(spark, sf)), ranked=True)
+def _candidate_pairs_ranked(spark, sf, params: LinkParams):
+    return sinks.candidate_lines(_ranked(spark, sf, params), linkage.s1_ids(src.document_entities(spark, sf)), ranked=True)
 
 
 def verify_output(spark, sf):
@@ -276,25 +276,35 @@ def queries() -> dict[str, Query]:
         "name_tokens": partial(_token_query, column="feat_name_toks"),
         "address_tokens": partial(_token_query, column="feat_addr_toks"),
         "name_ngrams": partial(_token_query, column="ngrams", name="ngrams"),
-        "block_name": partial(_candidates, params=TIGHT.with_(fallback=False), kinds=("name",)),
-        "block_addr": partial(_candidates, params=TIGHT.with_(fallback=False), kinds=("word", "num", "shingle")),
-        "block_ngram": partial(_candidates, params=TIGHT.with_(fallback=False), kinds=("ngram",)),
         "candidates_union": partial(_candidates, params=DEFAULT),
         "candidates_capped": partial(_candidates, params=TIGHT),
         "candidates_fallback": partial(_candidates, params=TINY),
         "candidates_fallback_first8": partial(_candidates, params=FALLBACK_8),
-        "candidates_raw_addr": partial(_candidates, params=RAW),
-        "candidates_fixed_countries": partial(_candidates, params=FIXED),
-        "candidates_no_partition": partial(_candidates, params=WHOLE),
         "rank_overlap_top60": lambda spark, sf: _ranked(spark, sf).select("s1_id", "cand_id", "weight", "rank"),
-        "rank_counter_list_top50": partial(_counter_ranked, n=50, repeated=True),
-        "rank_counter_set_top8": partial(_counter_ranked, n=8, repeated=False),
     }
+    # with the default caps, and as an extra with small ones
+    for end, params in (("", DEFAULT), ("_tight", TIGHT)):
+        alone = params if not end else params.with_(fallback=False)
+        out |= {
+            f"block_name{end}": partial(_candidates, params=alone, kinds=("name",)),
+            f"block_addr{end}": partial(_candidates, params=alone, kinds=("word", "num", "shingle")),
+            f"block_ngram{end}": partial(_candidates, params=alone, kinds=("ngram",)),
+            f"capped_tokens{end}": partial(_capped_tokens, params=params),
+            f"candidates_raw_addr{end}": partial(_candidates, params=params.with_(**RAW)),
+            f"candidates_unknown_pass{end}": partial(_unknown_pass, params=params),
+            f"candidates_fixed_countries{end}": partial(_candidates, params=params.with_(**FIXED)),
+            f"candidates_no_partition{end}": partial(_candidates, params=params.with_(**WHOLE)),
+            f"rank_counter_list_top50{end}": partial(_counter_ranked, params=params, n=50, repeated=True),
+            f"rank_counter_set_top8{end}": partial(_counter_ranked, params=params, n=8, repeated=False),
+        }
+    for end, params in (("", DEFAULT), ("_tiny", TINY)):
+        out[f"candidate_pairs_tsv{end}"] = partial(_candidate_pairs, params=params)
+        out[f"candidate_pairs_ranked{end}"] = partial(_candidate_pairs_ranked, params=params)
     for f in (
         norm_text, norm_address, norm_country, country_partitions, address_shingles, soundex_codes, token_counts,
-        capped_tokens, candidates_unknown_pass, feat_house_numbers, ground_truth, macro_f05, f05_per_entity,
+        feat_house_numbers, ground_truth, macro_f05, f05_per_entity,
         pair_metrics, blocking_metrics, search_space_reduction, grid_threshold, grid_decision, training_pairs,
-        gbt_scores, matching_results, candidate_pairs_tsv, candidate_pairs_ranked, verify_output, stream_candidates,
+        gbt_scores, matching_results, verify_output, stream_candidates,
     ):
         out[f.__name__] = f
     out |= {name: partial(_features, names=names) for name, names in _SETS.items()}
