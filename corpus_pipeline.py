@@ -7,6 +7,7 @@ Its result is written as Parquet in the shared checkpoint folder and read again
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinmark.llm import (
     common,
@@ -31,9 +32,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one holds; texts of which nothing is left go."""
-    cleaned = substring_dedup.dedup_substrings(docs, keep_all_columns=True)
-    return cleaned.where("text is null or trim(text) <> ''")
+    """All documents, without the passages that an earlier one holds; texts of which nothing is left go, those that
+    came in blank stay."""
+    marked = docs.withColumn("__blank", ~F.col("text").rlike(r"\S"))
+    cleaned = substring_dedup.dedup_substrings(marked, keep_all_columns=True)
+    return cleaned.where(r"text is null or __blank or text rlike '\\S'").drop("__blank")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
