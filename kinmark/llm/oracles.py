@@ -35,6 +35,16 @@ def _node(url: str) -> str:
     return f"CASE WHEN {host} <> '' THEN {host} || regexp_replace(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1), '/$', '') END"
 
 
+_ATTRIBUTE = r"""[^\s"''>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)"""
+
+
+def _attribute(name: str) -> str:
+    """Value of an attribute of ``tag``, from the list of the tag's attributes."""
+    raw = rf"list_filter(regexp_extract_all(tag, '{_ATTRIBUTE}'), lambda a: lower(regexp_extract(a, '^[^\s=]+')) = '{name}')[1]"
+    value = rf"regexp_replace({raw}, '^[^=]*=\s*', '')"
+    return f"CASE WHEN left({value}, 1) IN (chr(34), chr(39)) THEN substr({value}, 2, length({value}) - 2) ELSE {value} END"
+
+
 def url_filter(rules) -> str:
     fits = "\n  UNION ALL ".join(
         f"SELECT '{r.host}' AS rule_host, '{r.path}' AS rule_path, '{r.verdict}' AS rule_verdict" for r in rules
@@ -45,7 +55,14 @@ def url_filter(rules) -> str:
 WITH RECURSIVE rules AS ({fits}),
 p AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_AZ}), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-links AS (SELECT {_node("url")} AS a, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*rel=["'']?canonical["'']?[^>]*href=["'']([^"'']*)', 1)) AS t FROM p),
+tags AS (SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p),
+named AS (SELECT *, lower({_attribute("rel")}) AS rel, lower({_attribute("http-equiv")}) AS equiv, {_attribute("href")} AS href, {_attribute("content")} AS content FROM tags),
+found AS (SELECT url, host, path, href AS t FROM named WHERE regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(rel, '\s+'), 'canonical')
+  UNION ALL SELECT url, host, path, regexp_replace(regexp_extract(content, '(?is)[;,]\s*url\s*=\s*(.+)$', 1), '^["'']|["'']\s*$', '', 'g') FROM named
+  WHERE regexp_matches(tag, '(?i)^<meta') AND equiv = 'refresh'),
+clean AS (SELECT url, host, path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, replace(trim(t), '&amp;', '&') AS t FROM found),
+links AS (SELECT {_node("url")} AS a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t
+  WHEN starts_with(t, '/') THEN scheme || '://' || host || t WHEN t <> '' THEN scheme || '://' || host || regexp_replace(path, '[^/]*$', '') || t END AS t FROM clean),
 edges AS (SELECT a, {_node("t")} AS b FROM links),
 sym AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
 reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),

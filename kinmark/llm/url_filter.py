@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmark.llm.common import cut
@@ -42,24 +42,33 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.regexp_replace(rest, "/$", "")))
 
 
+#: A name and its value. Attributes are read one after the other, so nothing inside a quoted value is taken for one.
+ATTRIBUTE = r"""[^\s"'>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    quoted = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", 0)
-    return F.regexp_replace(F.regexp_replace(quoted, r"(?is)^\w+\s*=\s*", ""), r"""^["']|["']$""", "")
+    """Value of the first attribute ``name`` (any case) of a tag, without its quotes; null where there is none."""
+    found = F.filter(
+        F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name
+    )
+    value = F.regexp_replace(F.get(found, F.lit(0)), r"^[^=]*=\s*", "")
+    return F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def alias_targets(url: Column, html: Column) -> Column:
-    """Absolute urls that a page names as itself: canonical links and immediate refreshes."""
+    """Absolute urls that a page names as itself: canonical links and refreshes. A tag ends at its first ``>``."""
     links = F.filter(
-        F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)),
-        lambda t: F.lower(_attribute(t, "rel")) == "canonical",
+        F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)),
+        lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), "canonical"),
     )
     refreshes = F.filter(
-        F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)),
+        F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)),
         lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh",
     )
+    moved = F.transform(refreshes, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)[;,]\s*url\s*=\s*(.+)$", 1))
     found = F.concat(
         F.transform(links, lambda t: _attribute(t, "href")),
-        F.transform(refreshes, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is);\s*url\s*=\s*(.+)$", 1)),
+        F.transform(moved, lambda t: F.regexp_replace(t, r"^[\"']|[\"']\s*$", "")),
     )
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(url))
@@ -76,17 +85,22 @@ def alias_targets(url: Column, html: Column) -> Column:
     return F.filter(F.transform(found, absolute), lambda t: t.isNotNull())
 
 
-def with_rule(urls: DataFrame, rules: list[Rule]) -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    """Rules as ``(rule_host, rule_path, rule_verdict)``; a long block list comes as a table ``(host, path, verdict)``."""
+    if isinstance(rules, DataFrame):
+        return rules.toDF("rule_host", "rule_path", "rule_verdict")
+    rows = [(r.host, r.path, r.verdict) for r in rules]
+    return spark.createDataFrame(rows, "rule_host string, rule_path string, rule_verdict string")
+
+
+def with_rule(urls: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
     """``urls`` (with ``host`` and ``path``) plus ``rule`` and ``rule_verdict``: of the rules whose host is the
     url's or a parent of it and whose path begins the url's, the longest; of equals an allow.
 
     Rules meet distinct hosts first, over the hosts' own suffixes; their candidates are then joined to the
     urls by host, so a host with very many urls is one row until that join.
     """
-    spark = urls.sparkSession
-    table = spark.createDataFrame(
-        [(r.host, r.path, r.verdict) for r in rules], "rule_host string, rule_path string, rule_verdict string"
-    )
+    table = rule_table(urls.sparkSession, rules)
     hosts = urls.select("host").where("host <> ''").distinct()
     suffixes = hosts.select(
         "host",
@@ -118,12 +132,14 @@ def with_rule(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def judge_pages(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, decided_by)`` for every row of ``pages`` (``page_id, url, html``).
 
     ``redirects`` may add edges ``(src, dst)`` of urls. Null or malformed urls have empty host and path, no
-    rule and no aliases, and are allowed. Null ``html`` has no links. Repeated rows stay; other columns are
-    ignored; an empty table gives an empty result. Only pages that link take part in the component search.
+    rule and no aliases, and are allowed. Null ``html`` has no links; a null in a rule fits nothing. Repeated
+    rows stay and get one verdict; other columns are ignored; an empty table gives an empty result. A link to
+    the page itself changes nothing. Html of any length is searched whole. Only pages that link take part in
+    the component search.
     """
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     edges = pages.select(

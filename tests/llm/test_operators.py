@@ -388,3 +388,43 @@ def test_digest_of_chat_query(spark, tmp_path):
     assert set(got) == {1, -7} and got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 1
     assert got[1]["turns_sha256"] == brute.sha("user\nhi\nassistant\n\nassistant\nb\n")
     assert got[-7]["loss_sha256"] == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+
+
+def test_url_query_equals_its_sql_on_linking_pages(spark, tmp_path):
+    """Chains, a loop, an allow within a group, any order of attributes, repeated rows, odd tags, long html."""
+    import duckdb
+
+    def refresh(to):
+        return f'<META content="3; URL={to}" HTTP-EQUIV=refresh>'
+
+    rows = [
+        (0, "http://q.net/es/1", "<p>"),
+        (1, "http://one.org/a", refresh("http://two.org/b")),
+        (2, "http://two.org/b", "x" * 200_000 + "<link data-href='http://none.org/' href='http://three.org/c' rel='nofollow canonical'>"),
+        (3, "http://three.org/c", refresh("'http://q.net/es/1'")),
+        (4, "http://loop.org/1", refresh("/2")),
+        (5, "http://loop.org/2", refresh("1")),
+        (6, "http://loop.org/3", "<link rel=canonical href=//q.net/fr/?a=1&amp;b=2>" + refresh("http://shop.com/x")),
+        (7, "http://shop.com/x", None),
+        (8, "http://lone.org/", '<link rel="canonical"><meta http-equiv=refresh><link title="rel=canonical href=http://q.net/es/1" rel=icon>'),
+        (9, "http://self.org/", "<link rel=canonical href='http://self.org/'>"),
+        (10, None, refresh("http://q.net/es/1")),
+        (1, "http://one.org/a", refresh("http://two.org/b")),
+        (None, "http://loop.org/1#again", "<p>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("verdict", F.lit("clash"))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    out = queries.op8_url_filter(spark, str(tmp_path))
+    got = sorted(((r.page_id, r.host, r.verdict, r.decided_by) for r in out.collect()), key=str)
+    verdicts = {r.page_id: (r.verdict, r.decided_by) for r in out.collect() if r.page_id is not None}
+    assert all(verdicts[i] == ("block", "alias") for i in (1, 2, 3)) and verdicts[0] == ("block", "rule")
+    assert all(verdicts[i] == ("allow", "default") for i in (4, 5, 8, 9, 10))
+    assert verdicts[6] == ("allow", "alias") and verdicts[7] == ("allow", "rule")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    sql = queries.oracle_sql()["op8_url_filter"]
+    want = sorted(con.execute(f"SELECT page_id, host, verdict, decided_by FROM ({sql})").fetchall(), key=str)
+    assert got == want
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in queries.URL_RULES], "host string, path string, verdict string")
+    again = url_filter.judge_pages(pages, table)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
