@@ -39,14 +39,63 @@ def unescape_role(role: Column) -> Column:
     return unescape(_replace(role, "[n", "\n"))
 
 
+_BLOCKS = "array<struct<role:string,texts:array<string>>>"
+
+
+def _merge(left: Column, right: Column) -> Column:
+    """Blocks of two neighbouring stretches of turns: the last block on the left and the first on the right are
+    one where their roles are equal."""
+    last, first = F.get(left, F.size(left) - 1), F.get(right, F.lit(0))
+    one = F.struct(last["role"].alias("role"), F.concat(last["texts"], first["texts"]).alias("texts"))
+    joined = F.concat(
+        F.slice(left, F.lit(1), F.size(left) - 1), F.array(one), F.slice(right, F.lit(2), F.size(right))
+    )
+    return F.when((F.size(left) > 0) & (last["role"] == first["role"]), joined).otherwise(F.concat(left, right))
+
+
+def merge_turns(turns: Column) -> Column:
+    """Blocks ``(role, texts)`` of sorted turns: adjacent turns of one role are folded into one block. Stretches of
+    about the square root of the turns are folded first, then the stretches, so that a conversation of very many
+    turns does not copy its whole list at every turn."""
+    none = F.array().cast(_BLOCKS)
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(turns))).cast("int"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(turns)), step)
+    stretches = F.transform(starts, lambda at: F.slice(turns, at, step))
+
+    def fold(stretch: Column) -> Column:
+        return F.aggregate(
+            stretch,
+            none,
+            lambda blocks, t: _merge(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))),
+        )
+
+    return F.aggregate(F.transform(stretches, fold), none, _merge)
+
+
+def _segments(block: Column, trained: str) -> Column:
+    """Pieces of one block: its opening mark, its texts with ``[+]`` between them, its closing mark."""
+    own = block["role"] == trained
+
+    def mark(text: Column) -> Column:
+        return F.struct(text.alias("text"), F.lit(False).alias("loss"))
+
+    opening = F.concat(F.when(own, F.lit("<s>")).otherwise(F.lit("[INST]")), escape_role(block["role"]), F.lit("\n"))
+    texts = F.transform(
+        block["texts"],
+        lambda t, i: F.array(mark(F.when(i > 0, F.lit("[+]")).otherwise(opening)), F.struct(escape(t).alias("text"), own.alias("loss"))),
+    )
+    closing = F.when(own, F.lit("</s>")).otherwise(F.lit("[/INST]"))
+    return F.concat(F.flatten(texts), F.array(mark(closing)))
+
+
 def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """One row per ``conv_id``: ``formatted`` (the whole text) and ``segments``, its pieces with ``loss`` true on
     trained texts; the segments concatenated are ``formatted``.
 
     ``turns`` has ``conv_id, turn, role, text``; other columns are ignored. Turns go by ``turn`` (null first),
     ties by role and text; repeated rows stay. Null roles and texts read as empty. A null ``conv_id`` is a
-    conversation of its own. An empty table gives an empty result. Partial lists are built before the
-    shuffle; a conversation is one output text, so its turns do meet in one row.
+    conversation of its own. An empty table gives an empty result. Texts of any length stay whole. Partial
+    lists are built before the shuffle; a conversation is one output text, so its turns do meet in one row.
     """
     gathered = turns.groupBy("conv_id").agg(
         F.sort_array(
@@ -59,45 +108,10 @@ def format_conversations(turns: DataFrame, trained_role: str = TRAINED_ROLE) ->
             )
         ).alias("turns")
     )
-    trained = escape_role(F.lit(trained_role))
-    # a part opens its block if the role differs from the turn before, and closes it if it differs from the next
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform("turns", lambda t: t["role"]))
-    after = F.concat(F.expr("slice(transform(turns, t -> t.role), 2, size(turns))"), F.array(F.lit(None).cast("string")))
-    neighbours = gathered.withColumns({"before": before, "after": after})
-    parts = F.transform(
-        F.arrays_zip("turns", F.expr("slice(before, 1, size(turns))").alias("before"), "after"),
-        lambda p: F.struct(
-            escape_role(p["turns"]["role"]).alias("role"),
-            escape(p["turns"]["text"]).alias("text"),
-            (~p["turns"]["role"].eqNullSafe(p["before"])).alias("opens"),
-            (~p["turns"]["role"].eqNullSafe(p["after"])).alias("closes"),
-        ),
-    )
-    segments = F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.array(
-                F.struct(
-                    F.when(
-                        p["opens"],
-                        F.concat(F.when(p["role"] == trained, F.lit("<s>")).otherwise(F.lit("[INST]")), p["role"], F.lit("\n")),
-                    )
-                    .otherwise(F.lit("[+]"))
-                    .alias("text"),
-                    F.lit(False).alias("loss"),
-                ),
-                F.struct(p["text"].alias("text"), (p["role"] == trained).alias("loss")),
-                F.struct(
-                    F.when(p["closes"], F.when(p["role"] == trained, F.lit("</s>")).otherwise(F.lit("[/INST]")))
-                    .otherwise(F.lit(""))
-                    .alias("text"),
-                    F.lit(False).alias("loss"),
-                ),
-            ),
-        )
-    )
+    blocks = gathered.select("conv_id", merge_turns(F.col("turns")).alias("blocks"))
+    segments = F.flatten(F.transform("blocks", lambda b: _segments(b, trained_role)))
     return (
-        neighbours.select("conv_id", segments.alias("segments"))
+        blocks.select("conv_id", segments.alias("segments"))
         .withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
         .select("conv_id", "formatted", "segments")
     )

@@ -428,3 +428,30 @@ def test_url_query_equals_its_sql_on_linking_pages(spark, tmp_path):
     table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in queries.URL_RULES], "host string, path string, verdict string")
     again = url_filter.judge_pages(pages, table)
     assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_quality_verdict_and_collisions(spark, monkeypatch):
+    rng = random.Random(31)
+    lines = [prose(rng, 3) for _ in range(40)]
+    long = "\n".join(lines)
+    rows = [(0, long), (1, long + "\n" + "\n".join(lines[:8])), (2, " ".join([lines[0]] * 9)), (3, "few words"), (None, long), (0, long), (4, long + "\n" + lines[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash")).withColumn("n_words", F.lit(1))
+    got = {(r.doc_id, r.kept, r.base_failed) for r in quality.score_quality(docs).collect()}
+    assert got == {(0, True, False), (1, False, False), (2, False, True), (3, False, True), (None, True, False), (4, True, False)}
+    line = len("".join(lines[0].split()))
+    share = {r.doc_id: r.dup_line_share for r in quality.score_quality(docs).collect()}[4]
+    assert share == pytest.approx(line / (line + len("".join(long.split()))))
+    # where hashes of different n-grams collide, words decide
+    text = " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(60)).encode()
+    want = quality.measure(text, quality.RepetitionRules())
+    monkeypatch.setattr(quality, "_word_hashes", lambda numbers: np.ones(len(numbers), np.uint64))
+    assert quality.measure(text, quality.RepetitionRules()) == want
+
+
+def test_chat_folds_long_conversations(spark):
+    turns = [(1, i, "user" if i % 7 else "assistant", f"t{i}") for i in range(997)] + [(2, i, "user", str(i)) for i in range(300)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = by_id(chat.format_conversations(df).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("read")), "conv_id")
+    assert [(r["role"], r["text"]) for r in got[1]["read"]] == [t[2:] for t in turns[:997]]
+    assert got[1]["formatted"].count("[INST]") == 143 and got[1]["formatted"].count("<s>") == 143
+    assert got[2]["formatted"].startswith("[INST]user\n0[+]1[+]2") and got[2]["formatted"].count("[/INST]") == 1
