@@ -6,17 +6,19 @@ words that a worker has not met yet are encoded together: their symbols lie in o
 each round finds the best pair of every word by a segmented minimum of ranks, merges it and compacts
 the arrays, until no word has a pair left.
 
-A round may merge all leftmost non-overlapping occurrences of a word's best pair at once only if no
-pair born by these merges ranks as high or higher; where one does, that word merges its leftmost
-occurrence alone. This is what the sequential algorithm (best score first, leftmost on ties) does.
-Words of more than ``LONG_WORD`` symbols go through a heap, whose cost is n log n where rounds would
-be quadratic.
+Words of any length pass through the same rounds. A word is cut beforehand wherever no piece of the
+vocabulary holds its two neighbouring characters, for no merge ever crosses such a place.
+
+A round merges all leftmost non-overlapping occurrences of a word's best pair at once where no pair born by
+these merges ranks as high or higher. A merge that does bear such a pair is risky: the sequential algorithm
+(best score first, leftmost on ties) goes on with that pair before it merges any occurrence further right.
+All these births grow one piece, so they reach no further than the longest piece of the vocabulary; an
+occurrence that lies further off is independent of them and still merges in the same round.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from itertools import repeat
 
@@ -29,9 +31,8 @@ from kinmark.llm.common import arrow_map, blocks, claim, texts
 SPACE = "▁"
 #: A word with its leading run of spaces.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-LONG_WORD = 400
 #: Words that a worker keeps encoded, in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Characters encoded together; a longer text is a block of its own.
 BLOCK_CHARS = 1_000_000
 _NONE = np.iinfo(np.int64).max
@@ -111,6 +112,9 @@ class PieceModel:
         # Symbols: vocabulary ids, and from n on the characters that no piece has.
         self.n = n
         self._pairs(order, scores)
+        self.longest = max(map(len, self.piece_id))
+        inside = {(ord(x) << 21) | ord(y) for piece in self.piece_id for x, y in zip(piece, piece[1:])}
+        self.inside = np.array(sorted(inside), dtype=np.int64)  # neighbouring characters of any piece
         # symbol of every code point: the piece of one character, else n plus the code point
         self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int64)
         for piece, i in self.piece_id.items():
@@ -171,17 +175,17 @@ class PieceModel:
     def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after the other, and how many each word has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        symbols, word = self.symbol_of[flat], np.repeat(np.arange(len(words)), sizes)
-        long = np.flatnonzero(sizes > LONG_WORD)
-        rest = np.repeat(sizes <= LONG_WORD, sizes)
-        parts = [self._merge_rounds(symbols[rest], word[rest])]
-        for k in long.tolist():
-            merged = np.array(self._merge_by_heap(symbols[word == k].tolist()), dtype=np.int64)
-            parts.append((merged, np.full(len(merged), k)))
-        symbols, word = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(word, kind="stable")
-        symbols, word = symbols[order], word[order]
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        fresh = np.ones(len(flat), dtype=bool)
+        if len(flat) > 1:
+            pair = (flat[:-1] << 21) | flat[1:]
+            at = np.minimum(np.searchsorted(self.inside, pair), len(self.inside) - 1)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (self.inside[at] != pair)
+        part = np.cumsum(fresh) - 1
+        symbols, part = self._merge_rounds(self.symbol_of[flat], part)
+        order = np.argsort(part, kind="stable")
+        symbols, word = symbols[order], owner[np.flatnonzero(fresh)][part[order]]
         if len(symbols) and symbols.max() >= self.n:
             symbols, word = self._to_bytes(symbols, word)
         return symbols.astype(np.int32), np.bincount(word, minlength=len(words))
@@ -201,6 +205,7 @@ class PieceModel:
         row = np.full(len(symbols), -1, dtype=np.int64)
         inside = np.flatnonzero(word[:-1] == word[1:])
         row[inside] = self._look_up(symbols[inside], symbols[inside + 1])
+        first = np.arange(len(symbols))  # of each symbol, its first character
         done_symbols, done_word = [], []
         while len(symbols):
             rank = self.rank_or_none[row]
@@ -215,17 +220,17 @@ class PieceModel:
                 keep = np.repeat(active, sizes)
                 done_symbols.append(symbols[~keep])
                 done_word.append(word[~keep])
-                symbols, word, rank, row = symbols[keep], word[keep], rank[keep], row[keep]
+                symbols, word, rank, row, first = symbols[keep], word[keep], rank[keep], row[keep], first[keep]
                 best, sizes = best[active], sizes[active]
                 if not len(symbols):
                     break
             take = self._leftmost_apart(rank == np.repeat(best, sizes))
-            take = self._safe(symbols, word, row, rank, take)
+            take = self._independent(symbols, word, row, rank, first, take)
             symbols[take] = self.pair_id[row[take]]
             kept = np.ones(len(symbols), dtype=bool)
             kept[take + 1] = False
             place = take - np.arange(len(take))  # of each joined symbol after compaction
-            symbols, word, row = symbols[kept], word[kept], row[kept]
+            symbols, word, row, first = symbols[kept], word[kept], row[kept], first[kept]
             stale = np.concatenate([place, place[place > 0] - 1])
             stale = stale[stale + 1 < len(symbols)]
             row[place] = -1
@@ -243,64 +248,30 @@ class PieceModel:
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         return at[(np.arange(len(at)) - first) % 2 == 0]
 
-    def _safe(self, symbols, word, row, rank, take) -> np.ndarray:
-        """Of a word's several merges keep the leftmost alone if they could bear a pair that goes first."""
+    def _independent(self, symbols, word, row, rank, first, take) -> np.ndarray:
+        """Of a word's several merges those that the sequential algorithm would make whatever the others bear: all up
+        to the first risky one, and again from the first one on that lies out of reach of all before it."""
         owner = word[take]
         again = owner[1:] == owner[:-1]
         if not again.any():
             return take
-        several = np.r_[False, again] | np.r_[again, False]
-        some, own = take[several], owner[several]
-        joined, n = self.pair_id[row[some]], len(symbols)
-        before = np.where((some > 0) & (word[some - 1] == own), symbols[some - 1], -1)
-        touching = np.r_[False, (np.diff(some) == 2) & (own[1:] == own[:-1])]
+        joined, n = self.pair_id[row[take]], len(symbols)
+        before = np.where((take > 0) & (word[take - 1] == owner), symbols[take - 1], -1)
+        touching = np.r_[False, (np.diff(take) == 2) & again]
         before[touching] = joined[np.flatnonzero(touching) - 1]
-        after_at = np.minimum(some + 2, n - 1)
-        after = np.where((some + 2 < n) & (word[after_at] == own), symbols[after_at], -1)
-        risky = np.zeros(len(some), dtype=bool)
+        after_at = np.minimum(take + 2, n - 1)
+        after = np.where((take + 2 < n) & (word[after_at] == owner), symbols[after_at], -1)
+        risky = np.zeros(len(take), dtype=bool)
         for a, b in ((before, joined), (joined, after)):
-            born = self._look_up(a, b)
-            risky |= self.rank_or_none[born] <= rank[some]
+            risky |= self.rank_or_none[self._look_up(a, b)] <= rank[take]
         if not risky.any():
             return take
-        first = np.r_[True, ~again]
-        return take[first | ~np.isin(owner, own[risky])]
-
-    def _merge_by_heap(self, symbols: list[int]) -> list[int]:
-        n = len(symbols)
-        pairs = self._pair_dict()
-        right = list(range(1, n)) + [-1]
-        left = list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (hit := pairs.get((symbols[i], symbols[j]))):
-                heapq.heappush(heap, (hit[0], i, symbols[i], symbols[j], hit[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, joined = heapq.heappop(heap)
-            j = right[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = joined, -1
-            right[i] = right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
-            if left[i] >= 0:
-                offer(left[i])
-            offer(i)
-        return [s for s in symbols if s >= 0]
-
-    def _pair_dict(self) -> dict:
-        if not hasattr(self, "_as_dict"):
-            self._as_dict = {
-                (k // self.n, k % self.n): (r, i)
-                for k, r, i in zip(self.pair_key.tolist(), self.pair_rank.tolist(), self.pair_id.tolist(), strict=True)
-            }
-        return self._as_dict
+        # merges of one chain may reach each other: each starts near the one before it
+        near = again & (np.diff(first[take]) <= 3 * self.longest)
+        chain = np.cumsum(np.r_[True, ~near]) - 1
+        earlier = np.cumsum(risky) - risky  # risky ones before each
+        head = np.flatnonzero(np.r_[True, ~near])
+        return take[earlier == earlier[head][chain]]
 
     def words(self, text: str) -> list[str]:
         return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -426,8 +397,9 @@ def encode_documents(
     """One row per row of ``docs``: ``(doc_id, n_tokens, [ids,] ids_sha256, decoded_sha256)``.
 
     Texts are encoded whole with an end id; null counts as empty, which gives the end id alone. The
-    decoded digest comes from decoding these ids. Repeated rows and null ids stay as they are; other
-    columns are ignored. ``model_path`` must exist on every executor.
+    decoded digest comes from decoding these ids. Texts of any length, with or without spaces, take one path.
+    Repeated rows and null ids stay as they are; other columns, whatever their names, are ignored; an empty
+    table gives an empty result. ``model_path`` must exist on every executor.
     """
 
     def run(batch: pa.RecordBatch) -> dict:

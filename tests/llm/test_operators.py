@@ -455,3 +455,28 @@ def test_chat_folds_long_conversations(spark):
     assert [(r["role"], r["text"]) for r in got[1]["read"]] == [t[2:] for t in turns[:997]]
     assert got[1]["formatted"].count("[INST]") == 143 and got[1]["formatted"].count("<s>") == 143
     assert got[2]["formatted"].startswith("[INST]user\n0[+]1[+]2") and got[2]["formatted"].count("[/INST]") == 1
+
+
+def test_sentencepiece_on_long_texts_without_spaces():
+    """Over 10,000 symbols of one word: scripts without spaces, Latin letters, runs of one character, real words."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    model = sentencepiece_bpe.load_model(queries.PIECE_MODEL)
+    rng = random.Random(13)
+    pieces = [t for t in model.surface if t.strip() and len(t) > 1 and " " not in t]
+    texts = ["".join(rng.choice("日本語の文章中国一二三🎉é") for _ in range(12_000)), "".join(rng.choice("etaoinshrdlu") for _ in range(20_000))]
+    texts += [c * 15_000 for c in "ax=- _0"] + ["ab" * 9_000, "".join(rng.choice(pieces) for _ in range(4_000))]
+    texts += ["".join(rng.choice("=-_*#./ \t") * rng.randint(1, 70) for _ in range(600)), "".join(rng.choice("ACGT") for _ in range(15_000))]
+    for text in texts:
+        assert model.encode(text) == library.encode(text, add_eos=True), text[:60]
+    for _ in range(600):
+        text = "".join(rng.choice(pieces)[: rng.randint(1, 9)] * rng.choice([1, 1, 1, 2, 9]) for _ in range(rng.randint(1, 60)))
+        assert model.encode(text) == library.encode(text, add_eos=True), text
+
+
+def test_sentencepiece_nulls_repeats_and_clashes(spark):
+    rows = [(None, "a b", 1), (None, None, 2), (1, "a b", 3), (1, "a b", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long").withColumn("ids", F.lit("clash"))
+    got = sorted((str(r.doc_id), r.n_tokens, len(r.ids)) for r in sentencepiece_bpe.encode_documents(docs, queries.PIECE_MODEL).collect())
+    assert [g[0] for g in got] == ["1", "1", "None", "None"] and got[0] == got[1] and got[2][1:] == (1, 1) and all(g[1] == g[2] for g in got)
