@@ -118,6 +118,12 @@ def blocks(all_texts: list[str], limit: int) -> Iterator[list[str]]:
         yield block
 
 
+def unused(columns: list[str], n: int) -> list[str]:
+    """Names for ``n`` further columns that none of ``columns`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    return [x for x in (f"__k{i}" for i in range(n + len(columns))) if x not in taken][:n]
+
+
 _claimed: dict = {}
 
 

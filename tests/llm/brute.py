@@ -149,7 +149,7 @@ def span_runs(words: list[list[str]], min_sentences: int, min_words: int) -> set
     for i in range(n):
         runs.add(next(((i, e) for e in range(i, n + 1) if enough(i, e)), None))
         runs.add(next(((s, i + 1) for s in range(i, -1, -1) if enough(s, i + 1)), None))
-    return {r for r in runs if r and r[1] - r[0] < 256}
+    return {r for r in runs if r}
 
 
 def without_repeats(docs: list[tuple[int, str | None]], split, min_sentences: int = 2, min_words: int = 20) -> dict[int, str | None]:

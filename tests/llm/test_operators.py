@@ -480,3 +480,32 @@ def test_sentencepiece_nulls_repeats_and_clashes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens long").withColumn("ids", F.lit("clash"))
     got = sorted((str(r.doc_id), r.n_tokens, len(r.ids)) for r in sentencepiece_bpe.encode_documents(docs, queries.PIECE_MODEL).collect())
     assert [g[0] for g in got] == ["1", "1", "None", "None"] and got[0] == got[1] and got[2][1:] == (1, 1) and all(g[1] == g[2] for g in got)
+
+
+def test_substring_dedup_of_odd_tables(spark, monkeypatch):
+    """Text ids, null ids, repeated rows, clashing names; with and without room for hashes that repeat."""
+    rng = random.Random(41)
+    passage, alone = prose(rng, 9), [prose(rng, 5) for _ in range(6)]
+    rows = [(None, passage), (None, passage), ("a", alone[0] + "\n" + passage), ("b", passage), ("b", passage), ("c", alone[1]), ("d", None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({"__k0": F.lit(1), "__K1": F.lit("x"), "spans": F.lit(2), "doc": F.lit(3)})
+    for room in (0, 100_000):
+        monkeypatch.setattr(substring_dedup, "HOT", room)
+        got = [(r.doc_id, r.text) for r in substring_dedup.dedup_substrings(docs.repartition(2), keep_all_columns=True).collect()]
+        want = [(None, passage)] * 2 + [(None, None), ("a", alone[0] + "\n"), ("b", ""), ("b", ""), ("c", alone[1]), ("d", None)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_substring_dedup_remembers_hot_hashes(spark):
+    """Later batches of a task send a passage by document; one that comes before the known first still counts."""
+    rng = random.Random(43)
+    passage = prose(rng, 6)
+    rows = [(i, prose(rng, 3) + "\n" + passage) for i in range(60)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.doc_id: r.text for r in substring_dedup.dedup_substrings(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute.without_repeats(rows, substring_dedup.sentences)
