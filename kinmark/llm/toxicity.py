@@ -27,8 +27,10 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample_rows`` bounds the labelled rows that training reads. Features in more than ``max_share`` of
-    the sample or in fewer than ``min_rows`` rows are left out."""
+    """``sample_rows`` bounds the labelled rows that training reads, ``sample_features`` their features together:
+    rows beyond, in the order of the ids' hashes, are left out. Features in more than ``max_share`` of the
+    sample or in fewer than ``min_rows`` rows are left out. ``l1``, ``alpha`` and ``prefixes`` were chosen by
+    folds of training rows."""
 
     bits: int = 20
     alpha: float = 1.0
@@ -40,6 +42,7 @@ class FtrlParams:
     min_rows: int = 2
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
     sample_rows: int = 20_000
+    sample_features: int = 30_000_000
 
 
 @dataclass(frozen=True)
@@ -160,9 +163,10 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams | None = None) -> ToxicityModel:
     """Fit on labelled rows that are not held out.
 
-    The sample is the ``sample_rows`` labelled ids of smallest hash (all, where there are fewer). An id
-    labelled twice counts as toxic if any label says so; null labels and null ids are left out. Without
-    any row the model scores every text just under one half.
+    The sample is the ``sample_rows`` labelled ids of smallest hash (all, where there are fewer), one text for
+    each: of several rows of an id, the one whose text has the smallest checksum. An id labelled twice counts
+    as toxic if any label says so; null labels and null ids are left out; null texts count as empty. Without
+    any row the model scores every text just under one half. Other columns are ignored.
     """
     params = params or FtrlParams()
     small_batches(docs.sparkSession)
@@ -175,8 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams | None = None)
         .orderBy("__h", "doc_id")
         .limit(params.sample_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("__h", "doc_id", "__y", "text")
-    bits, prefixes = params.bits, params.prefixes
+    text = F.coalesce("text", F.lit(""))
+    rows = (
+        docs.select("doc_id", text.alias("text"))
+        .join(F.broadcast(sample), "doc_id")  # sample_rows rows of three numbers at most
+        .groupBy("doc_id", "__h", "__y")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text"))["text"].alias("text"))
+    )
+    bits, prefixes, most = params.bits, params.prefixes, params.sample_features
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits, prefixes)
@@ -192,10 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams | None = None)
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        got, held = [], 0
         for batch in batches:
             for f, y in zip(batch.column("f").to_pylist(), batch.column("__y").to_pylist(), strict=True):
-                got.append((np.frombuffer(f, dtype=np.int32), y))
+                held += len(f) // 4
+                if held <= most:
+                    got.append((np.frombuffer(f, dtype=np.int32), y))
         if got:
             bias, index, weight = fit_ftrl(got, params)
             yield pa.RecordBatch.from_pydict(
@@ -203,11 +215,11 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams | None = None)
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    # one task learns, from at most sample_rows rows; the sample is bounded, so the task is
+    # FTRL is sequential: one task learns, from at most sample_rows rows of sample_features features
     learnt = (
         rows.mapInArrow(featurise, f"__h long, doc_id {id_type}, __y int, f binary")
         .repartition(1)
-        .sortWithinPartitions("__h", "doc_id", "f")
+        .sortWithinPartitions("__h", "doc_id")
         .mapInArrow(learn, "i int, w double")
         .toPandas()
     )
@@ -220,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams | None = None)
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, predicted)`` for every row; an empty or null text scores by the bias alone.
 
-    Only the text is read. Repeated rows get equal scores; null ids pass through; other columns are ignored.
+    Only the text is read, whole. Repeated rows get equal scores; null ids pass through; other columns, whatever
+    their names, are ignored; an empty table gives an empty result.
     """
     scorer = make_scorer(model)
 
@@ -254,7 +267,8 @@ def make_scorer(model: ToxicityModel):
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose score stays under one half, all columns as they were."""
+    """Rows of ``docs`` whose score stays under one half, all columns as they were, whatever their names. Null and
+    empty texts score by the bias alone; repeated rows go or stay together; an empty table stays empty."""
     scorer = make_scorer(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

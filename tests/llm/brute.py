@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -170,3 +171,30 @@ def without_repeats(docs: list[tuple[int, str | None]], split, min_sentences: in
         if first[key] != (i, a, n):
             gone.setdefault(i, set()).update(range(a, a + n))
     return {i: t if i not in gone else "".join(p for k, p in enumerate(pieces[i]) if k not in gone[i]) for i, t in docs}
+
+
+def ftrl(rows: list, p) -> tuple[float, dict[int, float]]:
+    """FTRL-proximal, one coordinate at a time: bias and the weights that are not zero."""
+    seen = Counter(f for features, _ in rows for f in features.tolist())
+    use = {f for f, n in seen.items() if p.min_rows <= n <= max(p.min_rows, p.max_share * len(rows))}
+    z, n = {f: 0.0 for f in use}, {f: 0.0 for f in use}
+    zb = nb = 0.0
+
+    def weight(f: int) -> float:
+        if abs(z[f]) <= p.l1:
+            return 0.0
+        sign = 1.0 if z[f] > 0 else -1.0
+        return (sign * p.l1 - z[f]) / ((p.beta + math.sqrt(n[f])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for features, label in rows:
+            own = [f for f in features.tolist() if f in use]
+            w = {f: weight(f) for f in own}
+            wb = -zb / ((p.beta + math.sqrt(nb)) / p.alpha)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + wb))) - label
+            for f in own:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / p.alpha * w[f]
+                n[f] += g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / p.alpha * wb
+            nb += g * g
+    return -zb / ((p.beta + math.sqrt(nb)) / p.alpha), {f: weight(f) for f in use if weight(f)}

@@ -509,3 +509,32 @@ def test_substring_dedup_remembers_hot_hashes(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == brute.without_repeats(rows, substring_dedup.sentences)
+
+
+def test_ftrl_equals_scalar_statement():
+    """The vectorised learner against the update rule written out for one coordinate at a time."""
+    rng = random.Random(17)
+    rows = [(np.array(sorted(rng.sample(range(60), rng.randint(0, 9))), dtype=np.int32), rng.randint(0, 1)) for _ in range(150)]
+    params = toxicity.FtrlParams(bits=6, l1=0.3, l2=0.2, alpha=0.7, beta=0.9, epochs=3, max_share=0.2)
+    bias, index, weight = toxicity.fit_ftrl(rows, params)
+    assert dict(zip(index.tolist(), weight.tolist())) == pytest.approx(brute.ftrl(rows, params)[1]) and len(index) > 5
+    assert bias == pytest.approx(brute.ftrl(rows, params)[0])
+
+
+def test_toxicity_of_odd_tables(spark):
+    rng = random.Random(19)
+    rows = [(i, prose(rng, 2) + (" vilesome" if i % 6 == 0 else "")) for i in range(300)]
+    rows += [(None, "vilesome"), (6, "again vilesome"), (6, "again vilesome"), (12, None), (301, "calm words " * 30_000 + "vilesome")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("clash"), "__h": F.lit(1), "toxic": F.lit(9)})
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.repartition(5).unionByName(docs), labels)
+    assert model.bias == again.bias and (model.index == again.index).all() and (model.weight == again.weight).all()
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and {r.predicted for r in got if r.doc_id is None} == {1}
+    assert len({r.score for r in got if r.doc_id == 6}) <= 2
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 0
+    # bounds of rows and of features together leave the rest of the sample out
+    few = toxicity.train(docs, labels, toxicity.FtrlParams(sample_features=2_000))
+    assert len(few.index) < len(model.index)
