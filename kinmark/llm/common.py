@@ -18,10 +18,11 @@ from kinmark.workers import let_workers_import
 #: Rows per Arrow batch handed to Python. Text rows reach 100 KB and more, so the default of
 #: 10,000 rows would let one batch of long texts outgrow a worker.
 TEXT_BATCH_ROWS = 1000
+TEXT_BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir`` where it is set, else one made for tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the one set on the context, as in tests."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
@@ -29,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(known)
         return known
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinmark-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinmark-"))  # one process: its own folder is shared
     return sc.getCheckpointDir()
 
 
@@ -69,14 +72,18 @@ def _drop_all() -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches of texts small (never raises a smaller setting), and let workers that share this
-    folder import the package whatever their working folder is."""
+def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int = TEXT_BATCH_BYTES) -> None:
+    """Keep Arrow batches of texts small, in rows and in bytes (never raises a smaller setting), and let workers
+    that share this folder import the package whatever their working folder is."""
     let_workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, f"{size}b")
 
 
 def arrow_map(

@@ -538,3 +538,64 @@ def test_toxicity_of_odd_tables(spark):
     # bounds of rows and of features together leave the rest of the sample out
     few = toxicity.train(docs, labels, toxicity.FtrlParams(sample_features=2_000))
     assert len(few.index) < len(model.index)
+
+
+def test_merkle_tree_equals_plain_tree(spark):
+    """Every hash of every level, up to the root, against a tree built from the definition."""
+    rows = [(f, o * 9_000, f * 100 + o, f"record {f} {o}".encode()) for f in (0, 1, 5, 1 << 20, (3 << 20) + 1) for o in range(1, 8)]
+    records = spark.createDataFrame(rows, "file long, offset long, page_id long, record binary").repartition(4)
+    tree = warc.MerkleTree(records)
+    level = {(f, o): hashlib.sha256(r).hexdigest() for f, o, _, r in rows}
+    for k in range(warc.level_count()):
+        if k:
+            above: dict = {}
+            for (a, b), h in sorted(level.items()):
+                key = (a, b >> (14 if k == 1 else 4)) if k <= 3 else (a, 0) if k == 4 else (a >> 10, 0) if k <= 9 else (0, 0)
+                above.setdefault(key, []).append(f"{a}:{b}:{h}")
+            level = {key: hashlib.sha256("\n".join(c).encode()).hexdigest() for key, c in above.items()}
+        assert {(r.a, r.b): r.hash for r in tree.levels[k].collect()} == level, k
+    assert list(level) == [(0, 0)] and tree.root() == level[0, 0]
+    got = {(r.file, r.offset): (r.sha256, r.length) for r in warc.audit(records, records).collect()}
+    assert got == {(f, o): (hashlib.sha256(r).hexdigest(), len(r)) for f, o, _, r in rows}
+    # one altered record: the descent reads its branch alone
+    hurt = records.withColumn("record", F.when((F.col("file") == 5) & (F.col("offset") == 27_000), F.lit(b"x")).otherwise(F.col("record")))
+    found = warc.differing_records(tree, warc.MerkleTree(hurt))
+    assert [tuple(r) for r in found.collect()] == [(5, 27_000, "altered")]
+    tree.drop()
+
+
+def test_warc_damage_gives_rows(spark, tmp_path):
+    import gzip
+
+    good = warc.encode_record("http://x.org/", "urn:1", b"body one")
+    bad_length = good.replace(b"Content-Length: 8", b"Content-Length: x")
+    negative = good.replace(b"Content-Length: 8", b"Content-Length: -5")
+    none = good.replace(b"Content-Length: 8\r\n", b"")
+
+    def faults(data):
+        return [(at, fault, body) for at, _, body, fault in warc.parse_records(data)]
+
+    assert faults(b"") == [] and faults(good + good) == [(0, None, b"body one"), (len(good), None, b"body one")]
+    for broken in (bad_length, negative, none):
+        # after a bad length the body is lost bytes, and the next record is found
+        assert [f for _, f, _ in faults(broken + good)] == ["length", "lost", None]
+    assert [f for _, f, _ in faults(b"noise\n" + good)] == ["lost", None]
+    assert faults(good[:-8])[0][1:] == ("body", b"body"[:4]) and faults(good[:30])[0][1] == "header"
+    packed = gzip.compress(good) + gzip.compress(good)
+    assert [f for _, f, _ in faults(packed)] == [None, None]
+    assert [f for _, f, _ in faults(packed[:-20])][-1] == "gzip"
+    (tmp_path / "a.warc.gz").write_bytes(packed[:-20])
+    (tmp_path / "b.warc").write_bytes(bad_length + good)
+    (tmp_path / "c.warc").write_bytes(b"")
+    rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    read = warc.read_warc(spark, str(tmp_path)).collect()
+    assert {None, "length", "lost", "gzip"} <= {r.fault for r in read} and sum(r.fault is None for r in read) >= 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == min(int(rows_before), common.TEXT_BATCH_ROWS)
+
+
+def test_warc_of_odd_pages(spark):
+    pages = spark.createDataFrame([(None, "u", "a"), (None, "u", "a"), (7, None, None), (7, "x", "y" * 300_000)], "page_id long, url string, html string")
+    pages = pages.withColumns({"file": F.lit("clash"), "offset": F.lit(1), "record": F.lit(2)})
+    primary = common.cut(warc.encode_pages(pages, file_bytes=1000))
+    got = warc.audit(primary, primary.withColumn("extra", F.lit(1))).collect()
+    assert len(got) == 4 and {r.status for r in got} == {"intact"} and sorted(str(r.page_id) for r in got) == ["7", "7", "None", "None"]
