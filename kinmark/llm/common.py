@@ -73,13 +73,17 @@ def _drop_all() -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: int = TEXT_BATCH_BYTES) -> None:
-    """Keep Arrow batches of texts small, in rows and in bytes (never raises a smaller setting), and let workers
-    that share this folder import the package whatever their working folder is."""
+    """Keep batches of texts small where they are read and where they go to Python, in rows and in bytes (never
+    raises a smaller setting), and let workers that share this folder import the package whatever their working
+    folder is."""
     let_workers_import(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).lower().removesuffix("b")
     if not now.isdigit() or int(now) > size:

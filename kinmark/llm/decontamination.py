@@ -3,38 +3,42 @@
 Every window of a benchmark item (13 consecutive words, or all words of a shorter item) must occur in a
 document word for word. Its shingles are ordered by how often the documents hold them; the rarest alone
 is its necessary prefix, for containment of the whole window leaves no shingle that may be missing. A
-document position joins a window only through that shingle; the window must then fit between the ends
-of the document at that offset, and is compared word by word.
+document position joins a window only through that shingle, in a shuffle by its hash; the window must then
+fit between the ends of the document at that offset, and is compared word by word.
 
-Documents are read twice, once to count the shingles and once to join; no document word is shuffled.
-The benchmark side of the join is handed out in blocks of at most ``BLOCK_WINDOWS`` windows, however
-large the benchmark is: each block is one pass, and hits of several blocks are joined afterwards.
+Documents are read twice, once to count the benchmark's shingles and once for the positions of prefixes with
+the few words around each. Windows, items and counts stay tables. What every task receives are the hashes
+of at most ``PASS_KEYS`` shingles; a benchmark with more of them takes further passes of the same kind.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmark.llm.common import arrow_map, raw_texts, small_batches
+from kinmark.llm.common import cut, drop_table, raw_texts, small_batches, unused
 
 WINDOW = 13
 SHINGLE = 3
-#: Windows that one pass hands to every task: some 13 words of 8 bytes each, 30 MB at most.
-BLOCK_WINDOWS = 200_000
-#: Words compared together.
+#: Shingle hashes that one pass hands to every task, 8 bytes each.
+PASS_KEYS = 2_000_000
+#: Words looked at together.
 BLOCK_WORDS = 400_000
+#: Keys of contaminated documents up to which the filter is a broadcast join; beyond, both sides are shuffled.
+BROADCAST_KEYS = 200_000
+_U = np.uint64
 _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
     for c in range(256)
 )
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,85 +46,25 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-@dataclass
-class WindowBlock:
-    """A block of distinct windows, their words as numbers of a vocabulary, and the items that hold each."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    table = {w: digest(w, 11) for w in dict.fromkeys(words)}
+    return np.fromiter(map(table.__getitem__, words), _U, len(words))
 
-    vocabulary: dict[bytes, int]
-    words: np.ndarray  # windows x WINDOW, -1 beyond a window's length
-    length: np.ndarray
-    item_start: np.ndarray  # of each window in items, and its end
-    items: np.ndarray
-    offset: np.ndarray | None = None  # of the prefix shingle in each window
 
-    def shingle_keys(self, offset: int, width: int) -> np.ndarray:
-        return _key([self.words[:, offset + k] for k in range(width)])
-
-
-def _key(columns: list[np.ndarray]) -> np.ndarray:
-    """Exact number of a shingle: 21 bits per word."""
-    out = columns[0].astype(np.int64)
-    for c in columns[1:]:
-        out = (out << 21) | c
-    return out
-
-
-def window_blocks(
-    items: list[tuple[object, list[bytes]]], window: int = WINDOW, limit: int = BLOCK_WINDOWS
-) -> Iterator[WindowBlock]:
-    """Blocks of distinct windows of the items, each with a vocabulary of its own."""
-    pending: dict[tuple[bytes, ...], list] = {}
-
-    def build() -> WindowBlock:
-        vocabulary: dict[bytes, int] = {}
-        table = np.full((len(pending), window), -1, dtype=np.int64)
-        length = np.zeros(len(pending), dtype=np.int64)
-        starts, flat = [0], []
-        for row, (words, holders) in enumerate(pending.items()):
-            table[row, : len(words)] = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
-            length[row] = len(words)
-            flat += holders
-            starts.append(len(flat))
-        return WindowBlock(vocabulary, table, length, np.array(starts), np.array(flat, dtype=np.int64))
-
-    for number, (_, words) in enumerate(items):
-        if not words:
-            continue
-        size = min(window, len(words))
-        for k in range(len(words) - size + 1):
-            holders = pending.setdefault(tuple(words[k : k + size]), [])
-            if not holders or holders[-1] != number:
-                holders.append(number)
-        if len(pending) >= limit:
-            yield build()
-            pending = {}
-    if pending:
-        yield build()
-
-
-class DocumentWords:
-    """Texts as one flat array of word numbers, -1 for words the block does not have."""
-
-    def __init__(self, split: list[list[bytes]], vocabulary: dict[bytes, int]):
-        self.counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [w for words in split for w in words]
-        self.ids = np.fromiter(map(vocabulary.get, flat, repeat(-1)), np.int64, len(flat))
-        self.starts = np.r_[0, np.cumsum(self.counts)]
-        self.doc = np.repeat(np.arange(len(split)), self.counts)
-
-    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions whose next ``width`` words are all known and of one text, and their keys."""
-        n = len(self.ids) - width + 1
-        if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        ok = (self.ids[:n] >= 0) & (self.doc[:n] == self.doc[width - 1 :])
-        for k in range(1, width):
-            ok &= self.ids[k : n + k] >= 0
-        at = np.flatnonzero(ok)
-        return at, _key([self.ids[at + k] for k in range(width)])
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each place on."""
+    n = max(0, len(words) - width + 1)
+    with np.errstate(over="ignore"):
+        out = np.full(n, width, dtype=_U)
+        for k in range(width):
+            out = (out ^ words[k : n + k]) * _U(0x9E3779B97F4A7C15)
+            out ^= out >> _U(29)
+    return out.view(np.int64)
 
 
 def blocks_of(split: list[list[bytes]], limit: int = BLOCK_WORDS) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Runs of texts with at most ``limit`` words together, or a single longer text, and the first text of each."""
     first, block, size = 0, [], 0
     for i, words in enumerate(split):
         if block and size + len(words) > limit:
@@ -132,155 +76,211 @@ def blocks_of(split: list[list[bytes]], limit: int = BLOCK_WORDS) -> Iterator[tu
         yield first, block
 
 
-def _widths(block: WindowBlock) -> list[int]:
-    return sorted(set(np.minimum(block.length, SHINGLE).tolist()))
+class Keys:
+    """Shingle hashes to look for, by width."""
+
+    def __init__(self, width: np.ndarray, hashes: np.ndarray):
+        self.by_width = {}
+        for w in np.unique(width).tolist():
+            own = np.sort(hashes[width == w])
+            near = np.zeros(1 << 22, dtype=bool)
+            near[(own.view(_U) >> _U(42)).astype(np.int64)] = True
+            self.by_width[w] = own, near
+
+    def places(self, split: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For every width: the places in the flat words of a block where a key begins, and which key of the width."""
+        flat = word_hashes([w for words in split for w in words])
+        ends = np.cumsum([len(words) for words in split])
+        for w, (own, near) in self.by_width.items():
+            hashes = shingle_hashes(flat, w)
+            at = np.flatnonzero(near[(hashes.view(_U) >> _U(42)).astype(np.int64)])
+            # within one text
+            at = at[at + w <= ends[np.searchsorted(ends, at, side="right")]]
+            key = np.minimum(np.searchsorted(own, hashes[at]), len(own) - 1)
+            hit = own[key] == hashes[at]
+            yield w, at[hit], key[hit]
+
+
+def _passes(keys: DataFrame) -> Iterator[Keys]:
+    """Distinct ``(w, h)`` in parts of about ``PASS_KEYS``; no part at all where there are none."""
+    n = keys.count()
+    parts = math.ceil(n / PASS_KEYS)
+    for p in range(parts):
+        part = keys.where(F.pmod("h", F.lit(parts)) == p).toPandas()
+        yield Keys(part["w"].to_numpy(), part["h"].to_numpy())
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(item, words, l, w, shingles)``: every window of every item, its words joined by spaces, their number, and
+    the hashes of its shingles of ``w`` words in order."""
+    small_batches(benchmark.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), raw_texts(batch), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                width = min(SHINGLE, size)
+                if not size:
+                    continue
+                hashes = shingle_hashes(word_hashes(words), width)
+                for lo in range(0, len(words) - size + 1, 2000):
+                    at = range(lo, min(lo + 2000, len(words) - size + 1))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "item": pa.array([item] * len(at), pa.string()),
+                            "words": pa.array([b" ".join(words[k : k + size]).decode() for k in at], pa.string()),
+                            "l": pa.array([size] * len(at), pa.int32()),
+                            "w": pa.array([width] * len(at), pa.int32()),
+                            "shingles": pa.array([hashes[k : k + size - width + 1] for k in at], pa.list_(pa.int64())),
+                        }
+                    )
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return items.mapInArrow(run, "item string, words string, l int, w int, shingles array<long>")
+
+
+def shingle_counts(docs: DataFrame, keys: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(w, h, n)``: how often the documents hold each of the distinct shingles ``keys`` that they hold at all."""
+    parts = []
+    for part in _passes(keys):
+
+        def count(batches: Iterator[pa.RecordBatch], part: Keys = part) -> Iterator[pa.RecordBatch]:
+            total = {w: np.zeros(len(own), dtype=np.int64) for w, (own, _) in part.by_width.items()}
+            for batch in batches:
+                for _, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
+                    for w, _, key in part.places(split):
+                        total[w] += np.bincount(key, minlength=len(total[w]))
+            for w, n in total.items():
+                held = np.flatnonzero(n)
+                for k in range(0, len(held), 100_000):
+                    at = held[k : k + 100_000]
+                    columns = {"w": pa.array(np.full(len(at), w, np.int32)), "h": pa.array(part.by_width[w][0][at]), "n": pa.array(n[at])}
+                    yield pa.RecordBatch.from_pydict(columns)
+
+        parts.append(docs.select(text_col).mapInArrow(count, "w int, h long, n long"))
+    return _union(parts, docs, "w int, h long, n long").groupBy("w", "h").agg(F.sum("n").alias("n"))
+
+
+def _union(parts: list[DataFrame], docs: DataFrame, schema: str) -> DataFrame:
+    if not parts:
+        return docs.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def prefixes(distinct: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(words, l, w, offset, h)``: the rarest shingle of each window, the first of equals. A window with a shingle that
+    no document holds can occur nowhere and is left out."""
+    shingles = distinct.select("words", "l", "w", F.posexplode("shingles").alias("offset", "h"))
+    rate = F.coalesce("n", F.lit(0))
+    rarest = (
+        shingles.join(counts, ["w", "h"], "left")
+        .groupBy("words", "l", "w")
+        .agg(F.min(F.struct(rate.alias("n"), "offset", "h")).alias("p"))
+    )
+    return rarest.where("p.n > 0").select("words", "l", "w", "p.offset", "p.h")
 
 
-def order_by_rarity(docs: DataFrame, block: WindowBlock, text_col: str = "text") -> WindowBlock:
-    """Set each window's prefix: the offset of its shingle that the documents hold least often (the first of
-    equals). All documents are counted; only sums per shingle of the benchmark leave the tasks."""
-    width_keys = {w: _distinct_shingles(block, w) for w in _widths(block)}
-    vocabulary = block.vocabulary
+def places(docs: DataFrame, keys: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """``(k, n_words, w, h, places)``: for every row of ``docs`` (``k``, text) and each of the distinct shingles ``keys`` that
+    it holds, the places where it begins, each with the words around that a window could reach."""
+    reach = window - 1
+    key_type = docs.schema["k"].dataType.simpleString()
+    schema = f"k {key_type}, n_words long, w int, h long, places array<struct<at:int,left:int,near:string>>"
+    place_type = pa.list_(pa.struct([("at", pa.int32()), ("left", pa.int32()), ("near", pa.string())]))
+    parts = []
     small_batches(docs.sparkSession)
+    for part in _passes(keys):
+
+        def run(batches: Iterator[pa.RecordBatch], part: Keys = part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
+                    starts = np.r_[0, np.cumsum([len(words) for words in split])]
+                    for w, at, key in part.places(split):
+                        doc = np.searchsorted(starts, at, side="right") - 1
+                        order = np.lexsort((at, key, doc))
+                        doc, key, at = doc[order], key[order], (at - starts[doc])[order]
+                        edges = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0), True]) if len(at) else []
+                        for lo in range(0, max(0, len(edges) - 1), 1000):
+                            runs = edges[lo : lo + 1001]
+                            rows = doc[runs[:-1]]
+                            found = [_near(split[d], at[a:b].tolist(), w, reach) for d, (a, b) in zip(rows.tolist(), pairwise(runs.tolist()))]
+                            yield pa.RecordBatch.from_pydict(
+                                {
+                                    "k": batch.column("k").take(pa.array(rows + first)),
+                                    "n_words": pa.array([len(split[d]) for d in rows.tolist()], pa.int64()),
+                                    "w": pa.array(np.full(len(rows), w, np.int32)),
+                                    "h": pa.array(part.by_width[w][0][key[runs[:-1]]]),
+                                    "places": pa.array(found, place_type),
+                                }
+                            )
+
+        parts.append(docs.select("k", text_col).mapInArrow(run, schema))
+    return _union(parts, docs, schema)
+
+
+def _near(words: list[bytes], at: list[int], width: int, reach: int) -> list[dict]:
+    out = []
+    for a in at:
+        lo = max(0, a - reach)
+        out.append({"at": a, "left": a - lo, "near": b" ".join(words[lo : a + width + reach]).decode()})
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {w: np.zeros(len(k), dtype=np.int64) for w, k in width_keys.items()}
-        for batch in batches:
-            for _, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
-                words = DocumentWords(split, vocabulary)
-                for w, keys in width_keys.items():
-                    _, found = words.shingles(w)
-                    at = np.searchsorted(keys, found)
-                    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == found)]
-                    total[w] += np.bincount(at, minlength=len(keys))
-        for w, sums in total.items():
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_pydict(
-                {"w": pa.array(np.full(len(at), w, np.int32)), "i": pa.array(at.astype(np.int32)), "n": pa.array(sums[at])}
-            )
-
-    sums = (
-        docs.select(text_col)
-        .mapInArrow(count, "w int, i int, n long")
-        .groupBy("w", "i")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()  # at most one row per distinct shingle of the block
+
+def verified(found: DataFrame, rarest: DataFrame) -> DataFrame:
+    """``(k, n_words, words, l, begins)``: the windows that occur in a document, and where, compared word by word."""
+
+    def begin(x: Column) -> Column:
+        return x["left"] - F.col("offset")
+
+    def same(x: Column) -> Column:
+        here = F.slice(F.split(x["near"], " "), F.greatest(begin(x), F.lit(0)) + 1, F.col("l"))
+        return (begin(x) >= 0) & (F.array_join(here, " ") == F.col("words"))
+
+    begins = F.transform(F.filter("places", same), lambda x: x["at"] - F.col("offset"))
+    joined = found.join(rarest, ["w", "h"]).select("k", "n_words", "words", "l", begins.alias("begins"))
+    return joined.where(F.size("begins") > 0)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """``(k, n_words, n_hit, items)`` for every ``k`` of ``docs`` (``k``, text) in which a window occurs; rows of one ``k`` have
+    one text. ``items`` are the ids as text, sorted."""
+    every = cut(windows(benchmark, window))
+    distinct = cut(every.groupBy("words", "l", "w").agg(F.first("shingles").alias("shingles")))
+    keys = cut(distinct.select("w", F.explode("shingles").alias("h")).distinct())
+    counts = cut(shingle_counts(docs, keys, text_col))
+    rarest = cut(prefixes(distinct, counts))
+    prefix_keys = cut(rarest.select("w", "h").distinct())
+    sure = cut(verified(places(docs, prefix_keys, window, text_col), rarest))
+    runs = sure.select("k", "n_words", "l", F.explode("begins").alias("b")).distinct()
+    end = F.lit(0).cast("long")
+    covered = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("b", "l"))),
+        F.struct(end.alias("end"), end.alias("n")),
+        lambda acc, x: F.struct(
+            F.greatest(acc["end"], (x["b"] + x["l"]).cast("long")).alias("end"),
+            (acc["n"] + F.greatest(F.lit(0), x["b"] + x["l"] - F.greatest(acc["end"], x["b"]))).cast("long").alias("n"),
+        ),
+        lambda acc: acc["n"],
     )
-    block.offset = np.zeros(len(block.length), dtype=np.int64)
-    best = np.full(len(block.length), np.iinfo(np.int64).max)
-    for w, keys in width_keys.items():
-        own = sums[sums["w"] == w]
-        frequency = np.zeros(len(keys), dtype=np.int64)
-        frequency[own["i"].to_numpy()] = own["n"].to_numpy()
-        mine = np.minimum(block.length, SHINGLE) == w
-        for offset in range(block.words.shape[1] - w + 1):
-            here = np.flatnonzero(mine & (block.length >= offset + w))
-            rate = frequency[np.searchsorted(keys, block.shingle_keys(offset, w)[here])]
-            less = rate < best[here]
-            best[here[less]] = rate[less]
-            block.offset[here[less]] = offset
-    return block
-
-
-def _distinct_shingles(block: WindowBlock, width: int) -> np.ndarray:
-    mine = np.minimum(block.length, SHINGLE) == width
-    found = [
-        block.shingle_keys(offset, width)[mine & (block.length >= offset + width)]
-        for offset in range(block.words.shape[1] - width + 1)
-    ]
-    return np.unique(np.concatenate(found))
-
-
-class WindowJoin:
-    """Joins texts with a block of windows through their prefixes."""
-
-    def __init__(self, block: WindowBlock):
-        self.block = block
-        self.by_width = []
-        for w in _widths(block):
-            rows = np.flatnonzero(np.minimum(block.length, SHINGLE) == w)
-            keys = _key([block.words[rows, block.offset[rows] + k] for k in range(w)])
-            order = np.argsort(keys, kind="stable")
-            distinct, first = np.unique(keys[order], return_index=True)
-            self.by_width.append((w, distinct, np.r_[first, len(rows)], rows[order]))
-
-    def match(self, split: list[list[bytes]]) -> tuple[DocumentWords, np.ndarray, np.ndarray]:
-        """Positions in the flat words and windows that occur there."""
-        words, block = DocumentWords(split, self.block.vocabulary), self.block
-        at_all, row_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for w, keys, first, rows in self.by_width:
-            at, found = words.shingles(w)
-            k = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            hit = keys[k] == found
-            at, k = at[hit], k[hit]
-            for lo, hi in _pieces(first[k + 1] - first[k]):
-                times = first[k[lo:hi] + 1] - first[k[lo:hi]]
-                within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row = rows[np.repeat(first[k[lo:hi]], times) + within]
-                anchor = np.repeat(at[lo:hi], times)
-                begin = anchor - block.offset[row]
-                doc = words.doc[anchor]
-                fits = (begin >= words.starts[doc]) & (begin + block.length[row] <= words.starts[doc + 1])
-                begin, row = begin[fits], row[fits]
-                for c in range(block.words.shape[1]):
-                    inside = c < block.length[row]
-                    same = ~inside
-                    same[inside] = words.ids[begin[inside] + c] == block.words[row[inside], c]
-                    begin, row = begin[same], row[same]
-                at_all.append(begin)
-                row_all.append(row)
-        return words, np.concatenate(at_all), np.concatenate(row_all)
-
-
-def _pieces(times: np.ndarray, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges whose times sum to about ``limit``."""
-    ends = np.cumsum(times)
-    lo = 0
-    while lo < len(times):
-        base = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield lo, hi
-        lo = hi
-
-
-def _block_hits(docs: DataFrame, block: WindowBlock, id_cols: list[str], text_col: str) -> DataFrame:
-    """Per document: word count, positions hit (as packed bits) and items with occurring windows."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        join = WindowJoin(block)
-        counts, bits, found = [], [], []
-        for _, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
-            words, begin, row = join.match(split)
-            steps = np.zeros(len(words.ids) + 1, dtype=np.int64)
-            np.add.at(steps, begin, 1)
-            np.add.at(steps, begin + block.length[row], -1)
-            covered = np.cumsum(steps[:-1]) > 0
-            pairs = np.unique(np.stack([words.doc[begin], row]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-            edges = np.searchsorted(pairs[0], np.arange(len(split) + 1))
-            for d in range(len(split)):
-                counts.append(len(split[d]))
-                if edges[d] == edges[d + 1]:
-                    bits.append(b"")
-                    found.append([])
-                    continue
-                bits.append(np.packbits(covered[words.starts[d] : words.starts[d + 1]]).tobytes())
-                rows = pairs[1, edges[d] : edges[d + 1]]
-                found.append(sorted({i for r in rows.tolist() for i in block.items[block.item_start[r] : block.item_start[r + 1]].tolist()}))
-        return {
-            **{c: batch.column(c) for c in id_cols},
-            "n_words": pa.array(counts, pa.int64()),
-            "bits": pa.array(bits, pa.binary()),
-            "items": pa.array(found, pa.list_(pa.int64())),
-        }
+    lengths = runs.groupBy("k", "n_words").agg(covered.alias("n_hit"))
+    named = sure.select("k", "words").distinct().join(every.select("words", "item").distinct(), "words")
+    items = named.groupBy("k").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = cut(lengths.join(items, "k"))
+    for table in (every, distinct, keys, counts, rarest, prefix_keys, sure):
+        drop_table(table)
+    return out
 
-    ids = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
-    return arrow_map(docs.select(*id_cols, text_col), run, f"{ids}, n_words long, bits binary, items array<long>")
 
+def _key(text_col: str) -> Column:
+    """Rows of one id and one text share a key; a null id is an id of its own."""
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
 
-def _items(benchmark: DataFrame) -> list[tuple[object, list[bytes]]]:
-    """The benchmark's items, streamed to the driver: the query side, whose passes are blocks of it."""
-    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).orderBy("item_id", "text")
-    return [(r["item_id"], words_of(bytes(r["text"] or b""))) for r in rows.toLocalIterator()]
+
+_CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
@@ -288,99 +288,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     Null and empty texts have no words and no hits; items without words are never found; an item id of
     null reads as the empty string. Repeated documents each get their row; repeated item ids count once.
-    An empty benchmark leaves every document clean. Other columns are ignored.
+    Texts and items of any length are compared whole. An empty benchmark leaves every document clean; an
+    empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
-    items = _items(benchmark)
-    names = ["" if i is None else str(i) for i, _ in items]
-    blocks = list(window_blocks(items, window))
-    if len(blocks) <= 1:
-        if blocks:
-            hits = _block_hits(docs, order_by_rarity(docs, blocks[0], text_col), ["doc_id"], text_col)
-        else:
-            empty = WindowBlock({}, np.full((0, window), -1), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-            hits = _block_hits(docs, empty, ["doc_id"], text_col)
-        return _verdicts(hits, names)
-    keyed = docs.select("doc_id", text_col, _row_mark(text_col).alias("__row"))
-    one_each = keyed.select("doc_id", "__row").join(
-        _joined_hits(keyed, docs, blocks, text_col),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")),
-    )
-    return _verdicts(one_each.select("doc_id", "n_words", "all", "items"), names)
-
-
-def _row_mark(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
-def _joined_hits(keyed: DataFrame, docs: DataFrame, blocks: list[WindowBlock], text_col: str) -> DataFrame:
-    """Hits of all blocks, one pass each, for every distinct id and text: ``(__id, __r, n_words, all, items)``."""
-    passes = None
-    for block in blocks:
-        hits = _block_hits(keyed, order_by_rarity(docs, block, text_col), ["doc_id", "__row"], text_col)
-        one = hits.dropDuplicates(["doc_id", "__row"])
-        passes = one if passes is None else passes.unionByName(one)
+    keyed = docs.select("doc_id", _key(text_col).alias("k"), F.col(text_col).alias("text"))
+    found = hits(keyed.select("k", "text"), benchmark, window).select("k", "n_hit", "items")
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        passes.groupBy("doc_id", "__row")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.collect_list("bits").alias("all"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        keyed.select("doc_id", "k", words.alias("n_words"))
+        .join(found, "k", "left")
+        .select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.size(items).cast("long").alias("n_items"),
+            F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         )
-        .withColumnsRenamed({"doc_id": "__id", "__row": "__r"})
+        .withColumn("contaminated", F.expr(_CONTAMINATED))
     )
 
 
-def _verdicts(hits: DataFrame, names: list[str]) -> DataFrame:
-    several = "all" in hits.columns
-
-    def run(batch: pa.RecordBatch) -> dict:
-        n_hit, n_items, digests = [], [], []
-        for bits, items in zip(batch.column("all" if several else "bits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            masks = [b for b in (bits if several else [bits]) if b]
-            n_hit.append(int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in masks])).sum()) if masks else 0)
-            found = sorted({names[i] for i in items})
-            n_items.append(len(found))
-            digests.append(hashlib.sha256(",".join(found).encode()).hexdigest())
-        return {
-            "doc_id": batch.column("doc_id"),
-            "n_words": batch.column("n_words"),
-            "n_hit": pa.array(n_hit, pa.int64()),
-            "n_items": pa.array(n_items, pa.int64()),
-            "items_sha256": pa.array(digests, pa.string()),
-        }
-
-    id_type = hits.schema["doc_id"].dataType.simpleString()
-    out = arrow_map(hits, run, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, all columns as they were."""
-    items = _items(benchmark)
-    blocks = list(window_blocks(items, window))
-    if not blocks:
-        return docs
-    if len(blocks) > 1:
-        keyed = docs.select("doc_id", text_col, _row_mark(text_col).alias("__row"))
-        hits = _joined_hits(keyed, docs, blocks, text_col)
-        ids = hits.select(F.struct("__id", "__r").alias("doc_id"), "n_words", "all", "items")
-        clean = _verdicts(ids, ["" if i is None else str(i) for i, _ in items]).where("not contaminated")
-        clean = clean.select(F.col("doc_id.__id").alias("__id"), F.col("doc_id.__r").alias("__r"))
-        return docs.join(
-            clean, F.col("doc_id").eqNullSafe(F.col("__id")) & (_row_mark(text_col) == F.col("__r")), "left_semi"
-        )
-    block = order_by_rarity(docs, blocks[0], text_col)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        join = WindowJoin(block)
-        keep = []
-        for _, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
-            words, begin, row = join.match(split)
-            steps = np.zeros(len(words.ids) + 1, dtype=np.int64)
-            np.add.at(steps, begin, 1)
-            np.add.at(steps, begin + block.length[row], -1)
-            hit = np.bincount(words.doc[np.cumsum(steps[:-1]) > 0], minlength=len(split))
-            keep += ((hit == 0) | (20 * hit < words.counts)).tolist()
-        return batch.filter(pa.array(keep, pa.bool_()))
-
-    return arrow_map(docs, run, docs.schema)
+    """Rows of ``docs`` that are not contaminated, all columns as they were, whatever their names. Null and empty
+    texts stay; repeated rows go or stay together; an empty benchmark removes nothing."""
+    name = unused(docs.columns, 1)[0]
+    keyed = docs.withColumn(name, _key(text_col))
+    found = hits(keyed.select(F.col(name).alias("k"), F.col(text_col).alias("text")), benchmark, window)
+    bad = cut(found.where(_CONTAMINATED).select(F.col("k").alias(name)))
+    few = bad.count() <= BROADCAST_KEYS
+    return keyed.join(F.broadcast(bad) if few else bad, name, "left_anti").drop(name)

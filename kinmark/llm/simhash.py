@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmark.llm import shingles
-from kinmark.llm.common import arrow_map, cut, raw_texts, small_batches
+from kinmark.llm.common import arrow_map, cut, raw_texts, unused
 from kinmark.llm.graph import connected_components
 
 WORDS = 3
@@ -265,9 +265,13 @@ def _components(prints: DataFrame, more: DataFrame | None = None) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which each component keeps one: the row of its smallest id (null ids last; of several
-    rows of that id, the one whose text has the smallest checksum). All columns stay as they were.
+    rows of that id, the one whose text has the smallest checksum). All columns stay as they were, whatever their
+    names.
 
-    Texts link at 2 or fewer differing bits of their fingerprints, or at Jaccard 0.8 of their five-word shingles."""
+    Texts link at 2 or fewer differing bits of their fingerprints, or at Jaccard 0.8 of their five-word shingles.
+    Null texts and texts without words have one fingerprint and no shingles, so one of them stays; of rows repeated
+    with id and text one stays; texts of any length are read whole; an empty table stays empty.
+    """
     id_, mark = F.col(id_col), F.coalesce(F.xxhash64(text_col), F.lit(0))
     narrow = docs.select(id_.alias("doc_id"), mark.alias("mark"), F.col(text_col).alias("text"))
     keyed = cut(shingles.sketches(narrow, ["doc_id", "mark"], fingerprint))
@@ -276,11 +280,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         keyed.join(_components(keyed.select("doc_id", "fp"), more).select("fp", "root"), "fp")
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first"))
-        .select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"))
+        .select("first.doc_id", "first.mark")
+    )
+    key, first = unused(docs.columns, 2)
+    kept = docs.withColumn(key, F.struct(id_.alias("doc_id"), mark.alias("mark"))).join(
+        chosen.select(F.struct("doc_id", "mark").alias(first)), F.col(key).eqNullSafe(F.col(first)), "left_semi"
     )
-    kept = docs.join(chosen, id_.eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
     unique = keyed.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    if unique:
-        return kept
-    # rows repeated with id and text: one of each stays
-    return kept.withColumn("__mark", mark).dropDuplicates([id_col, "__mark"]).drop("__mark")
+    if not unique:  # rows repeated with id and text: one of each stays
+        kept = kept.dropDuplicates([key])
+    return kept.drop(key)

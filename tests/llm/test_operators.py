@@ -211,11 +211,19 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch):
     kept = decontamination.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w["contaminated"]}
-    # the same over many blocks of the benchmark
-    monkeypatch.setattr(decontamination.window_blocks, "__defaults__", (13, 3))
-    got = by_id(decontamination.contamination(docs, bench))
-    assert {i: {k: got[i][k] for k in w} for i, w in want.items()} == want
-    assert {r.doc_id for r in decontamination.drop_contaminated(docs, bench).collect()} == {i for i, w in want.items() if not w["contaminated"]}
+    # the same in many passes, with null ids, repeated documents and clashing names
+    monkeypatch.setattr(decontamination, "PASS_KEYS", 7)
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 0)
+    odd = docs.unionByName(docs.where("doc_id in (20, 3)")).withColumn("k", F.lit(1)).withColumn("__k0", F.lit("clash"))
+    odd = odd.unionByName(odd.where("doc_id = 20").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" more"))))
+    rows_want = sorted([(i, w["n_hit"], w["items_sha256"]) for i, w in want.items()] + [(i, want[i]["n_hit"], want[i]["items_sha256"]) for i in (20, 3)], key=str)
+    none = brute.contamination(rows[20][1] + " more", items)
+    rows_want += [(None, none["n_hit"], none["items_sha256"])] * 2
+    got = [(r.doc_id, r.n_hit, r.items_sha256) for r in decontamination.contamination(odd, bench).collect()]
+    assert sorted(got, key=str) == sorted(rows_want, key=str)
+    kept = decontamination.drop_contaminated(odd, bench)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w["contaminated"]} | ({None} if not none["contaminated"] else set())
     assert decontamination.contamination(empty, bench).count() == 0
     assert not any(r.contaminated for r in decontamination.contamination(docs, bench.where("false")).collect())
 
