@@ -21,31 +21,39 @@ from kinmark.llm import (
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under one half; it learns from the labelled ones of ``docs``."""
+    """Documents that the classifier scores under one half; it learns from the labelled ones of ``docs``. Null and
+    empty texts score by the bias alone and stay; without labels everything stays. Null ids, repeated rows, very
+    long texts and further columns stay as they are; an empty table stays empty."""
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (by fingerprints or five-word shingles), the one of smallest id."""
+    """One document of each group of near duplicates (by fingerprints or five-word shingles), the one of smallest id,
+    null ids last. Of texts without words (null ones too) one stays, and one of rows repeated with id and text. Texts
+    are read whole; further columns stay; an empty table stays empty."""
     return simhash.drop_near_duplicates(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one holds; texts of which nothing is left go, those that
-    came in blank stay."""
-    marked = docs.withColumn("__blank", ~F.col("text").rlike(r"\S"))
+    """All documents, without the passages that an earlier one holds. A text goes if this stage took something from it
+    and left nothing but white space; null, empty and blank texts that came in stay. Rows equal in id and text
+    stay alike; a null id counts as the earliest; further columns stay; an empty table stays empty."""
+    blank = common.unused(docs.columns, 1)[0]
+    marked = docs.withColumn(blank, ~F.col("text").rlike(r"\S"))
     cleaned = substring_dedup.dedup_substrings(marked, keep_all_columns=True)
-    return cleaned.where(r"text is null or __blank or text rlike '\\S'").drop("__blank")
+    return cleaned.where(F.col("text").isNull() | F.col(blank) | F.col("text").rlike(r"\S")).drop(blank)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage contaminates."""
+    """Documents that no benchmark passage contaminates; null and empty texts stay, rows of one id and text go or stay
+    together, further columns stay. Without a benchmark everything stays; an empty table stays empty."""
     return decontamination.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the decoded text."""
+    """Token ids of every document, with digests of the ids and of the decoded text. Null texts count as empty; null
+    ids and repeated rows give a row each; an empty table gives an empty result."""
     return sentencepiece_bpe.encode_documents(docs, queries.PIECE_MODEL)
 
 
