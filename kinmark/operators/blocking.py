@@ -6,12 +6,16 @@ token above its cap ever fans out. Candidates of all kinds come from one join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmark.functions.fixed_values import UNKNOWN_COUNTRY
 from kinmark.functions.tokens import token_kind
 from kinmark.params import LinkParams
+from kinmark.sources.sinks import FileMoves
 
 
 def countries(entities: DataFrame) -> DataFrame:
@@ -56,6 +60,72 @@ def capped_tokens(counts: DataFrame, params: LinkParams) -> DataFrame:
     return counts.where(F.col("post_count") <= limit)
 
 
+@dataclass(frozen=True)
+class StoredIndex:
+    """Prepared targets, their postings and token counts, read back from their tables."""
+
+    targets: DataFrame
+    postings: DataFrame
+    counts: DataFrame
+    has_unknown: bool
+
+
+_PARTS = ("targets", "postings", "counts")
+
+
+def store_index(targets: DataFrame, params: LinkParams, path: str, has_unknown: bool = False) -> StoredIndex:
+    """Write the index of prepared ``targets`` below ``path``, part by part; a part that an earlier run completed is kept.
+
+    ``has_unknown`` says whether probes may lack their country; the index then holds every target in the pass over unknown
+    countries, too. Building on with other parameters raises an error.
+    """
+    spark = targets.sparkSession
+    files = FileMoves(spark, path)
+    note = json.dumps({"params": asdict(params), "has_unknown": has_unknown}, sort_keys=True)
+    if files.exists("meta/_SUCCESS"):
+        _check_note(spark, path, note)
+    else:
+        files.remove("meta")
+        spark.createDataFrame([(note,)], "value string").coalesce(1).write.text(f"{path}/meta")
+    parted = with_part(targets, params, has_unknown)
+    makers = {
+        "targets": lambda: targets,
+        "postings": lambda: token_rows(parted, params, "cand_id"),
+        "counts": lambda: token_counts(spark.read.parquet(f"{path}/postings")),
+    }
+    for part in _PARTS:
+        if not files.exists(f"{part}/_SUCCESS"):
+            makers[part]().write.mode("overwrite").parquet(f"{path}/{part}")
+    return load_index(spark, params, path, has_unknown)
+
+
+def load_index(spark: SparkSession, params: LinkParams, path: str, has_unknown: bool = False) -> StoredIndex:
+    """The index below ``path``; an error where a part is missing, or it was made with other parameters, or its counts
+    do not add up to its postings."""
+    files = FileMoves(spark, path)
+    for part in ("meta", *_PARTS):
+        if not files.exists(f"{part}/_SUCCESS"):
+            raise ValueError(f"the index at {path} is not complete: {part}")
+    _check_note(spark, path, json.dumps({"params": asdict(params), "has_unknown": has_unknown}, sort_keys=True))
+    targets, postings, counts = (spark.read.parquet(f"{path}/{part}") for part in _PARTS)
+    counted = counts.agg(F.coalesce(F.sum("post_count"), F.lit(0))).first()[0]
+    if counted != postings.count():
+        raise ValueError(f"the index at {path} is damaged: counts and postings differ")
+    return StoredIndex(targets, postings, counts, has_unknown)
+
+
+def _check_note(spark: SparkSession, path: str, note: str) -> None:
+    if spark.read.text(f"{path}/meta").first()["value"] != note:
+        raise ValueError(f"the index at {path} was made with other parameters")
+
+
+def probe_index(s1: DataFrame, index: StoredIndex, params: LinkParams) -> DataFrame:
+    """``(s1_id, cand_id)`` as :func:`block` gives, for prepared S1 records against a stored index."""
+    probes = token_rows(with_part(s1, params, index.has_unknown), params, "s1_id")
+    targets = with_part(index.targets, params, index.has_unknown)
+    return _candidates(probes, index.postings, index.counts, targets, params)
+
+
 def block(
     entities: DataFrame, params: LinkParams, kinds: tuple[str, ...] | None = None, has_unknown: bool | None = None
 ) -> DataFrame:
@@ -71,7 +141,10 @@ def block(
     probes = token_rows(s1, params, "s1_id", kinds)
     targets = parted.where("role <> 'S1'")
     postings = token_rows(targets, params, "cand_id", kinds)
-    counts = token_counts(postings)
+    return _candidates(probes, postings, token_counts(postings), targets, params)
+
+
+def _candidates(probes, postings, counts, targets, params: LinkParams) -> DataFrame:
     usable = capped_tokens(counts, params).select("part", "token")
     direct = (
         probes.join(usable, ["part", "token"]).join(postings, ["part", "token"]).select("part", "s1_id", "cand_id").distinct()

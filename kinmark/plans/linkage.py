@@ -61,27 +61,44 @@ def train(
 
 
 def infer(entities: DataFrame, model: PipelineModel, params: LinkParams = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Ranked candidates and, for every S1 record, its accepted matches."""
-    prepared = prepare(entities, params)
+    """Ranked candidates and, for every S1 record, its accepted matches. Prepared records are kept while the
+    caller works with the results; :func:`publish` stores both before anything reads them twice."""
+    prepared = prepare(entities, params).persist()
     ranked = candidates(prepared, params)
     scored = training.score(model, pair_features(ranked.select("s1_id", "cand_id"), prepared, FEATURE_NAMES))
     accepted = decide.within_margin(scored, params.threshold, params.margin, params.max_matches)
     return ranked, decide.predictions(accepted, s1_ids(entities))
 
 
+RESULTS = ("candidate_pairs", "matching_results")
+
+
 def publish(ranked: DataFrame, matches: DataFrame, entities: DataFrame, out: str) -> dict:
-    """Verify both results, then write them; nothing is written where a check fails."""
+    """Store both results once, verify what was stored, then publish both together.
+
+    They are written under ``out/_pending``, verified from there, and only then moved to their names; where a check
+    fails nothing is published. An existing result is never overwritten: it raises an error before any work.
+    """
+    spark = ranked.sparkSession
+    files = sinks.FileMoves(spark, out)
+    for name in RESULTS:
+        if files.exists(name):
+            raise FileExistsError(f"{out}/{name} exists")
     ids = s1_ids(entities)
-    lines = {
-        "candidate_pairs": sinks.candidate_lines(ranked, ids, ranked=True),
-        "matching_results": sinks.match_lines(matches, ids),
-    }
-    reports = {name: sinks.verify_lines(df, ids).first().asDict() for name, df in lines.items()}
+    files.remove("_pending")  # of an interrupted run
+    sinks.write_tsv(sinks.candidate_lines(ranked, ids, ranked=True), f"{out}/_pending/{RESULTS[0]}")
+    sinks.write_tsv(sinks.match_lines(matches, ids), f"{out}/_pending/{RESULTS[1]}")
+    reports = {}
+    for name in RESULTS:
+        written = spark.read.csv(f"{out}/_pending/{name}", sep="\t", header=True, schema="source1_entity_id string, ids string")
+        reports[name] = sinks.verify_lines(written, ids).first().asDict()
     for name, report in reports.items():
         if report["missing_ids"] or report["duplicate_rows"] or report["unexpected_ids"]:
+            files.remove("_pending")
             raise ValueError(f"{name}: {report}")
-    for name, df in lines.items():
-        sinks.write_tsv(df, f"{out}/{name}")
+    for name in RESULTS:
+        files.move(f"_pending/{name}", name)
+    files.remove("_pending")
     return reports
 
 
