@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +9,9 @@ from kinmark.functions.fixed_values import ADDR_STOPWORDS, LEGAL_STOPWORDS
 from kinmark.functions.text import char_ngrams, let, normalize_text, words
 
 
-@lru_cache(maxsize=4)
-def _array_sql(values: frozenset[str]) -> str:
-    return "array(" + ", ".join(f"'{v}'" for v in sorted(values)) + ")"
-
-
 def _in(word: Column, values: frozenset[str]) -> Column:
-    return F.array_contains(F.expr(_array_sql(values)), word)
+    """A look-up in a hash set, made once per task."""
+    return word.isin(*sorted(values))
 
 
 def name_tokens(name: Column | str, min_length: int = 2) -> Column:

@@ -26,8 +26,10 @@ _ABBR = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in STREET_ABBREVIATIONS.ite
 _DIGITS = "regexp_full_match(w, '[0-9]+')"
 
 DOCUMENTS = """SELECT CASE CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'S2' ELSE 'S3' END AS role,
-  doc_id AS ordinal, substr(text, 1, 60) AS bn, substr(text, 61, 80) AS ba, lang AS country FROM documents"""
+  doc_id AS ordinal, split_part(text, chr(10), 1) AS bn, substr(text, length(split_part(text, chr(10), 1)) + 2) AS ba, lang AS country FROM documents"""
 UNKNOWNS = DOCUMENTS.replace("lang AS country", "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS country")
+PAGES = r"""SELECT CASE page_id % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'S2' ELSE 'S3' END AS role, page_id AS ordinal,
+  regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS bn, url AS ba, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) AS country FROM pages"""
 PARTS = """SELECT CASE p_partkey % 3 WHEN 0 THEN 'S1' WHEN 1 THEN 'S2' ELSE 'S3' END AS role, p_partkey AS ordinal,
   p_name AS bn, p_size || ' ' || p_type || ' ' || p_brand AS ba, 'US' AS country FROM part"""
 
@@ -146,11 +148,11 @@ def _flag(x: str) -> str:
 
 
 def soundex_sql(x: str) -> str:
-    coded = f"translate(upper({x}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', '012301200224550126230102020000000000')"
-    for d in "123456":
-        coded = f"regexp_replace({coded}, '{d}+', '{d}', 'g')"
-    code = f"(CASE WHEN left({x}, 1) = '0' THEN '' ELSE upper(left({x}, 1)) END || replace(substr({coded}, 2), '0', ''))"
-    return f"CASE WHEN {x} = '' THEN '' ELSE rpad(left({code}, 4), 4, '0') END"
+    """First letter, then the digit of every later letter that has one and does not repeat its neighbour's."""
+    digit = "CASE WHEN contains('BFPV', {0}) THEN '1' WHEN contains('CGJKQSXZ', {0}) THEN '2' WHEN contains('DT', {0}) THEN '3' WHEN {0} = 'L' THEN '4' WHEN contains('MN', {0}) THEN '5' WHEN {0} = 'R' THEN '6' ELSE '' END"
+    here, before = digit.format(f"upper(substr({x}, i, 1))"), digit.format(f"upper(substr({x}, i - 1, 1))")
+    tail = f"array_to_string(list_transform(range(2, length({x}) + 1), lambda i: CASE WHEN {here} = {before} THEN '' ELSE {here} END), '')"
+    return f"CASE WHEN {x} = '' THEN '' ELSE rpad(left(CASE WHEN left({x}, 1) = '0' THEN '' ELSE upper(left({x}, 1)) END || {tail}, 4), 4, '0') END"
 
 
 _FEATURES = {
@@ -162,6 +164,7 @@ _FEATURES = {
     "name_edit_sim": _edit("n1", "n2"),
     "name_token_sort_sim": _edit(_sorted("n1"), _sorted("n2")),
     "name_jaro_winkler": "jw",
+    "name_lcs_ratio": "CASE WHEN n1 = '' OR n2 = '' THEN 0.0 ELSE 2.0 * lcs / (length(n1) + length(n2)) END",
     "name_len_ratio": _ratio("n1", "n2"),
     "name_acronym_match": _flag(f"len(list_intersect({_of('N1_', 'n_acr_')}, {_of('N2_', 'n_acr_')})) > 0"),
     "name_prefix_match": _flag("n1 <> '' AND n2 <> '' AND (starts_with(n1, substr(n2, 1, 4)) OR starts_with(n2, substr(n1, 1, 4)))"),
@@ -195,14 +198,27 @@ pair0 AS (SELECT t.*, x.n AS n1, y.n AS n2, x.a AS a1, y.a AS a2, x.c AS c1, y.c
 pair AS (SELECT *, {_jw("n1", "n2")} AS jw, CASE WHEN a1 = '' OR a2 = '' THEN 0.0 ELSE {_jw("a1", "a2")} END AS ajw,
   {_of("A1_", "num_")} AS h1, {_of("A2_", "num_")} AS h2 FROM pair0)"""
 
+#: The common subsequence by its table, one diagonal of it per step: ``a`` is the last diagonal, ``b`` the one before, and
+#: element i + 1 belongs to the first i letters of the first name.
+LCS = """,
+names AS (SELECT DISTINCT n1, n2 FROM pair0),
+steps(n1, n2, d, a, b) AS (SELECT n1, n2, 0, list_transform(range(0, length(n1) + 1), lambda i: 0), list_transform(range(0, length(n1) + 1), lambda i: 0) FROM names
+  UNION ALL SELECT n1, n2, d + 1, list_transform(range(0, length(n1) + 1), lambda i: CASE WHEN i = 0 OR i > d THEN 0
+    ELSE greatest(a[i], a[i + 1], b[i] + CASE WHEN substr(n1, i, 1) = substr(n2, d + 1 - i, 1) THEN 1 ELSE 0 END) END), a
+  FROM steps WHERE d < length(n1) + length(n2)),
+common AS (SELECT n1, n2, a[length(n1) + 1] AS lcs FROM steps WHERE d = length(n1) + length(n2)),
+pairs AS (SELECT * FROM pair JOIN common USING (n1, n2))"""
 
-def features(names, source: str = DOCUMENTS, n: int = 60, params: LinkParams = DEFAULT) -> str:
+
+def features(names, source: str = PAGES, n: int = 60, params: LinkParams = DEFAULT) -> str:
     columns = ", ".join(f"round(CAST({_FEATURES[f]} AS DOUBLE), 9) AS {f}" for f in names)
-    return f"{base(source)},{blocking(params)},{ranked(n)},{PAIRS} SELECT s1_id, cand_id, {columns} FROM pair"
+    lcs, pairs = (LCS, "pairs") if "name_lcs_ratio" in names else ("", "pair")
+    sql = f"{base(source)},{blocking(params)},{ranked(n)},{PAIRS}{lcs} SELECT s1_id, cand_id, {columns} FROM {pairs}"
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if lcs else sql
 
 
 def scored(n: int = 60) -> str:
-    return f"""{base()},{blocking(DEFAULT)},{ranked(n)},{PAIRS},
+    return f"""{base(PAGES)},{blocking(DEFAULT)},{ranked(n)},{PAIRS},
 scored AS (SELECT s1_id, cand_id, rank, round({_FEATURES["joint_name_addr_sim"]}, 9) AS prob, {_FEATURES["addr_house_num_conflict"]} AS conflict, round(jw, 9) AS name_jw FROM pair),
 truth AS (SELECT x.entity_id AS s1_id, list_sort(coalesce(list(y.entity_id) FILTER (WHERE y.entity_id IS NOT NULL), [])) AS matches
   FROM e x LEFT JOIN e y ON y.role <> 'S1' AND y.n = x.n AND y.country0 = x.country0 WHERE x.role = 'S1' GROUP BY 1)""".replace("y.country0 = x.country0", "y.c = x.c")
@@ -258,6 +274,7 @@ def oracle_sql() -> dict[str, str]:
         "feat_name_edit": ("name_edit_sim", "name_token_sort_sim"),
         "feat_name_jw": ("name_jaro_winkler", "joint_name_addr_sim", "harmonic_mean_jw"),
         "feat_addr_sets": ("addr_null", "addr_exact_match", "addr_jaccard", "addr_containment", "addr_word_jaccard", "addr_word_containment", "addr_edit_sim", "addr_jaro_winkler", "addr_shingle_overlap_count", "addr_len_ratio"),
+        "feat_lcs": ("name_lcs_ratio",),
         "feat_cross": ("name_in_addr_cross_match", "addr_in_name_cross_match", "shared_tokens_total_count", "country_match", "is_source3"),
     }
     out = {
@@ -284,8 +301,8 @@ def oracle_sql() -> dict[str, str]:
         "rank_counter_list_top50": f"{base()},{blocking(TIGHT)},{counter_ranked(TIGHT, 50, True)} SELECT s1_id, cand_id, weight, CAST(rank AS INTEGER) AS rank FROM top",
         "rank_counter_set_top8": f"{base()},{blocking(TIGHT)},{counter_ranked(TIGHT, 8, False)} SELECT s1_id, cand_id, weight, CAST(rank AS INTEGER) AS rank FROM top",
         "feat_house_numbers": features(("addr_house_num_match", "addr_house_num_conflict", "addr_house_num_overlap_count"), PARTS, 20, TIGHT),
-        "features_33": features([f for f in FEATURE_NAMES if f != "name_lcs_ratio"]),
-        "features_28": features([f for f in FEATURE_NAMES if f not in NOT_IN_28 and f != "name_lcs_ratio"]),
+        "features_33": features(FEATURE_NAMES),
+        "features_28": features([f for f in FEATURE_NAMES if f not in NOT_IN_28]),
         "macro_f05": f"{scored()},{PREDICTED} SELECT round(coalesce(avg({_f05('ids', 'matches')}), 0.0), 9) AS macro_f05 FROM pred",
         "f05_per_entity": f"{scored()},{PREDICTED} SELECT s1_id, round({_f05('ids', 'matches')}, 9) AS f05 FROM pred",
         "matching_results": f"{scored()},{PREDICTED} SELECT s1_id AS source1_entity_id, array_to_string(ids, ',') AS matched_entity_ids FROM pred",
@@ -345,7 +362,7 @@ SELECT CAST(count(*) AS DOUBLE) AS num_s1, CAST(sum(m) AS DOUBLE) AS total_true_
 s AS (SELECT count(*) FILTER (WHERE role = 'S1') AS a, count(*) FILTER (WHERE role <> 'S1') AS b FROM e)
 SELECT n AS candidates, 100.0 * (1.0 - n / (CAST(a AS DOUBLE) * CAST(b AS DOUBLE))) AS reduction_pct, n / 100000.0 AS candidate_growth, CAST(0.95 AS DOUBLE) - CAST(0.9 AS DOUBLE) AS recall_change FROM k, s"""
     out["training_pairs"] = f"""{scored()},
-cut AS (SELECT s1_id, matches FROM (SELECT t.*, row_number() OVER (ORDER BY e.ordinal) AS rn, count(*) OVER () AS n FROM truth t JOIN e ON e.entity_id = t.s1_id) WHERE rn <= CAST(floor(n * 0.7) AS BIGINT)),
+cut AS (SELECT s1_id, matches FROM (SELECT t.*, row_number() OVER (ORDER BY e.ordinal) AS rn, count(*) OVER () AS n FROM truth t JOIN e ON e.entity_id = t.s1_id) WHERE rn <= CAST(floor(n * (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE))) AS BIGINT)),
 true_pairs AS (SELECT s1_id, unnest(matches) AS cand_id FROM cut)
 SELECT s1_id, cand_id, CAST(1 AS INTEGER) AS label FROM true_pairs UNION ALL
 SELECT s1_id, cand_id, CAST(0 AS INTEGER) FROM (SELECT t.s1_id, t.cand_id, t.rank FROM top t JOIN cut USING (s1_id) ANTI JOIN true_pairs p ON p.s1_id = t.s1_id AND p.cand_id = t.cand_id

@@ -22,6 +22,8 @@ FALLBACK_8 = TINY.with_(fallback_limit=8)
 RAW = {"address_form": "raw"}
 FIXED = {"partitioning": "fixed", "countries": ("FR", "EN")}
 WHOLE = {"partitioning": "none"}
+#: Trees of ``gbt_scores``; each costs several passes, so the query trains fewer than a real run's 300.
+GBT_ROUNDS = 20
 
 
 _plans: dict[tuple, DataFrame] = {}
@@ -36,6 +38,11 @@ def documents(spark: SparkSession, sf: str, params: LinkParams = DEFAULT) -> Dat
     return _plans[key].persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Prepared pages, whose short names and addresses are compared pair by pair."""
+    return src.prepare(src.page_entities(spark, sf), DEFAULT)
+
+
 def _joined(array: Column, by: str = " ") -> Column:
     return F.array_join(array, by)
 
@@ -108,9 +115,13 @@ def _counter_ranked(spark, sf, params: LinkParams, n: int, repeated: bool):
 # -- features -------------------------------------------------------------------------------------
 
 
+def _ranked_pages(spark, sf, n: int = 60):
+    rows = pages(spark, sf)
+    return ranking.rank_by_overlap(blocking.block(rows, DEFAULT), rows, n)
+
+
 def _features(spark, sf, names):
-    rows = documents(spark, sf)
-    found = features.pair_features(_ranked(spark, sf).select("s1_id", "cand_id"), rows, tuple(names))
+    found = features.pair_features(_ranked_pages(spark, sf).select("s1_id", "cand_id"), pages(spark, sf), tuple(names))
     return found.select("s1_id", "cand_id", *[F.round(c, 9).alias(c) for c in names])
 
 
@@ -137,8 +148,8 @@ _SETS = {
     "feat_cross": (
         "name_in_addr_cross_match", "addr_in_name_cross_match", "shared_tokens_total_count", "country_match", "is_source3",
     ),
-    "features_33": tuple(f for f in FEATURE_NAMES if f != "name_lcs_ratio"),
-    "features_28": tuple(f for f in features.FEATURES_28 if f != "name_lcs_ratio"),
+    "features_33": FEATURE_NAMES,
+    "features_28": features.FEATURES_28,
     "features_20": features.BASELINE_20,
 }
 
@@ -148,8 +159,7 @@ _SETS = {
 
 def scored(spark, sf, n: int = 60) -> DataFrame:
     """Ranked pairs with a score that needs no model: the joint similarity of name and address."""
-    ranked = _ranked(spark, sf, n=n)
-    found = features.with_features(features.pair_rows(ranked, documents(spark, sf)))
+    found = features.with_features(features.pair_rows(_ranked_pages(spark, sf, n), pages(spark, sf)))
     return found.select(
         "s1_id", "cand_id", "rank", F.round("joint_name_addr_sim", 9).alias("prob"), "addr_house_num_conflict",
         F.round("name_jaro_winkler", 9).alias("name_jaro_winkler"),
@@ -157,7 +167,7 @@ def scored(spark, sf, n: int = 60) -> DataFrame:
 
 
 def truth(spark, sf) -> DataFrame:
-    return src.silver_truth(src.document_entities(spark, sf))
+    return src.silver_truth(src.page_entities(spark, sf))
 
 
 def _rule(spark, sf, rule):
@@ -196,7 +206,7 @@ def pair_metrics(spark, sf):
 
 
 def blocking_metrics(spark, sf):
-    return evaluate.blocking_metrics(_candidates(spark, sf, DEFAULT), truth(spark, sf))
+    return evaluate.blocking_metrics(blocking.block(pages(spark, sf), DEFAULT), truth(spark, sf))
 
 
 def search_space_reduction(spark, sf):
@@ -218,21 +228,21 @@ def grid_decision(spark, sf):
 
 
 def training_pairs(spark, sf):
-    rows = documents(spark, sf)
+    rows = pages(spark, sf)
     order = rows.where("role = 'S1'").select(F.col("entity_id").alias("s1_id"), "ordinal")
     head, _ = training.head_split(truth(spark, sf), order, 0.3)
-    return training.training_pairs(_ranked(spark, sf), head, rows.where("role <> 'S1'"))
+    return training.training_pairs(_ranked_pages(spark, sf), head, rows.where("role <> 'S1'"))
 
 
 def gbt_scores(spark, sf):
-    """A small model over the training pairs, and its scores of all ranked candidates."""
-    rows = documents(spark, sf)
+    """A model over the training pairs, and its scores of all ranked candidates. ``GBT_ROUNDS`` trees."""
+    rows = pages(spark, sf)
     pairs = training_pairs(spark, sf).persist()
     labelled = features.pair_features(pairs.select("s1_id", "cand_id"), rows).join(pairs, ["s1_id", "cand_id"]).persist()
-    model = training.fit(labelled, training.BoostParams(rounds=5))
+    model = training.fit(labelled, training.BoostParams(rounds=GBT_ROUNDS))
     labelled.unpersist()
     pairs.unpersist()
-    found = features.pair_features(_ranked(spark, sf).select("s1_id", "cand_id"), rows)
+    found = features.pair_features(_ranked_pages(spark, sf).select("s1_id", "cand_id"), rows)
     return training.score(model, found).select("s1_id", "cand_id", "prob")
 
 

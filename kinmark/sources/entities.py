@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmark.functions import text, tokens
@@ -30,26 +30,45 @@ def parse_ground_truth(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("source1_entity_id").alias("s1_id"), F.array_sort(F.array_distinct(ids)).alias("matches"))
 
 
+def _role(number: Column) -> Column:
+    return F.when(number % 3 == 0, "S1").when(number % 3 == 1, "S2").otherwise("S3")
+
+
 def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as business records of three sources, with ``role`` and a stable ``ordinal``."""
+    """Documents as business records of three sources, with ``role`` and a stable ``ordinal``: the first line is the
+    name, all the rest of the text the address."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    number = F.substring("source", 4, 10).cast("int") % 3
-    role = F.when(number == 0, "S1").when(number == 1, "S2").otherwise("S3")
+    role = _role(F.substring("source", 4, 10).cast("int"))
+    first = F.substring_index("text", "\n", 1)
     return docs.select(
         role.alias("role"),
         F.concat(role, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.substring("text", 1, 60).alias("business_name"),
-        F.substring("text", 61, 80).alias("business_address"),
+        first.alias("business_name"),
+        F.substring("text", F.length(first) + 2, F.length("text")).alias("business_address"),
         F.col("lang").alias("country"),
         F.col("doc_id").alias("ordinal"),
     )
 
 
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as business records of three sources: the title is the name, the url the address, the language of the page
+    its country. Whole short texts, for what is computed pair by pair."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    role = _role(F.col("page_id"))
+    return pages.select(
+        role.alias("role"),
+        F.concat(role, F.lit("-"), F.col("page_id").cast("string")).alias("entity_id"),
+        F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("business_name"),
+        F.col("url").alias("business_address"),
+        F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1).alias("country"),
+        F.col("page_id").alias("ordinal"),
+    )
+
+
 def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as business records with house numbers and very many equal names; one country."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    number = F.col("p_partkey") % 3
-    role = F.when(number == 0, "S1").when(number == 1, "S2").otherwise("S3")
+    role = _role(F.col("p_partkey"))
     return part.select(
         role.alias("role"),
         F.concat(role, F.lit("-"), F.col("p_partkey").cast("string")).alias("entity_id"),
@@ -91,12 +110,15 @@ def prepare(entities: DataFrame, params: LinkParams) -> DataFrame:
         text.normalize_country("country").alias("c"),
     )
     name, address = ("n", "a") if params.address_form == "standardized" else ("business_name", "business_address")
-    return base.withColumns(
+    made = base.withColumns(
         {
             "name_toks": tokens.name_tokens(name),
             "addr_toks": tokens.address_tokens(address),
             "ngrams": tokens.name_ngrams(name, params.ngram_size),
-            "feat_name_toks": tokens.name_tokens("n"),
-            "feat_addr_toks": tokens.address_tokens("a"),
         }
     )
+    if params.address_form == "standardized":  # the same lists
+        same = {"feat_name_toks": F.col("name_toks"), "feat_addr_toks": F.col("addr_toks")}
+    else:
+        same = {"feat_name_toks": tokens.name_tokens("n"), "feat_addr_toks": tokens.address_tokens("a")}
+    return made.withColumns(same)

@@ -7,7 +7,7 @@ import __spark_entry__
 
 def test_main_queries_have_the_default_caps(spark, tmp_path):
     words = "walbert tirando mekolin sarufe dontaly prigam lostev"
-    rows = [(i, f"{words} {i + 100000}" + " " * 60 + f"{words} lane", "en", f"src{i % 3}", 10) for i in range(93)]
+    rows = [(i, f"{words} {i + 100000}\n{words} lane", "en", f"src{i % 3}", 10) for i in range(93)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     run = __spark_entry__.queries()
     for name in ("block_name", "block_ngram", "candidates_raw_addr", "candidates_unknown_pass", "candidates_no_partition", "candidates_fixed_countries"):

@@ -33,27 +33,26 @@ def entities(spark, rows):
 
 def test_normalize_text(spark):
     cases = {
-        "ABC Pizza Restaurant Pvt Ltd": "abc pizza restaurant pvt ltd",
-        "  A & B + C @ D  ": "a and b plus c at d",
-        "Orelee's Barbershop! #123": "orelee s barbershop 123",
-        "Wélfare & Café": "welfare and cafe",
-        "Dräxkor GmbH": "draxkor gmbh",
-        "165th Street": "165 street",
-        "2nd Floor": "2 floor",
+        "Quillon Bakery Works Pvt Ltd": "quillon bakery works pvt ltd",
+        "\t Fig & Thyme+Salt@Harbour ": "fig and thyme plus salt at harbour",
+        "Morrow's Tool-Shed?! No. 88/4": "morrow s tool shed no 88 4",
+        "Ångström Crêperie Žižkov": "angstrom creperie zizkov",
+        "221st Row, 3rd gate, 42th x": "221 row 3 gate 42 x",
         None: "",
-        "(nan)": "nan",
-        "\tnan ": "",
-        "1st_x": "1st x",
-        "½ ﬁ ß": "12 fi",
-        "NA": "na",
-        "राम मां लॉजिस्टिक्स प्राइवेट लिमिटेड": "logistics private limited",
+        "(null)": "null",
+        "\tNone ": "",
+        "7th_y": "7th y",
+        "¾ ﬂ ø": "34 fl",
+        "N/A": "n a",
+        "प्राइवेट घर लिमिटेड": "private limited",
     }
     assert values(spark, cases, text.normalize_text) == list(cases.values())
-    assert values(spark, ["(nan)", "1st_x"], lambda c: text.normalize_text(text.normalize_text(c))) == ["", "1 x"]
+    # not idempotent
+    assert values(spark, ["(null)", "7th_y"], lambda c: text.normalize_text(text.normalize_text(c))) == ["", "7 y"]
 
 
 def test_normalize_country(spark):
-    cases = {"US": "US", "  India  ": "INDIA", "France": "FRANCE", None: "UNKNOWN", "nan": "UNKNOWN"}
+    cases = {" portugal": "PORTUGAL", "Côte d'Or": "COTE D OR", None: "UNKNOWN", "null": "UNKNOWN", "--": "UNKNOWN"}
     assert values(spark, cases, text.normalize_country) == list(cases.values())
 
 
@@ -62,14 +61,14 @@ def test_standardize_address(spark):
 
 
 def test_tokens(spark):
-    names = values(spark, ["ABC Pizza Restaurant Pvt Ltd", "J/U Earths LLC", "The Group LLC", "", "(nan)", "a b c"], tokens.name_tokens)
-    assert names[0] == ["n_abc", "n_pizza", "n_restaurant"]
-    assert names[1] == ["n_earths", "n_acr_ju"] and names[2] == ["n_group"] and names[3] == []
-    assert names[5] == ["n_acr_abc"]
-    found = values(spark, ["1795 Westchester Drive, High Point, NC", "000", "01111 x", ""], tokens.address_tokens)
-    assert set(found[0]) >= {"num_1795", "w_westchester", "sh_1795_westchester"}
-    assert found[1] == [] and found[2] == ["num_1111"] and found[3] == []
-    assert values(spark, ["abc", "ab cde", ""], tokens.name_ngrams) == [["ng_abc"], ["ng_abcd", "ng_bcde"], []]
+    names = values(spark, ["Harrow Fig Company Ltd", "K/9 Kennels LLC", "The Holdings Co", "", "(none)", "x y z"], tokens.name_tokens)
+    assert names[0] == ["n_harrow", "n_fig"]
+    assert names[1] == ["n_kennels", "n_acr_k9"] and names[2] == ["n_holdings"] and names[3] == [] and names[4] == ["n_none"]
+    assert names[5] == ["n_acr_xyz"]
+    found = values(spark, ["0406 Juniper Crescent, Old Quay, NJ", "00", "0077 q", ""], tokens.address_tokens)
+    assert found[0] == ["num_406", "w_juniper", "w_crescent", "w_old", "w_quay", "sh_406_juniper", "sh_juniper_crescent", "sh_crescent_old", "sh_old_quay"]
+    assert found[1] == [] and found[2] == ["num_77"] and found[3] == []
+    assert values(spark, ["fig", "fi gsa", ""], tokens.name_ngrams) == [["ng_fig"], ["ng_figs", "ng_igsa"], []]
 
 
 def test_soundex(spark):
@@ -118,33 +117,57 @@ def found(spark, rows, params=DEFAULT):
 
 
 def test_blocking(spark):
+    # an address alone is enough, whatever the names
     rows = [
-        ("S1-1", "Dräxkor", "85 Wanye Avenue, Ticonderoga", "US"),
-        ("S2-201", "Unknown Name Co", "85 Wayne Avenue, Ticonderoga, NY", "US"),
-        ("S3-202", "Other Name Ltd", "99 Broadway, New York, NY", "US"),
+        ("S1-1", "Velmora", "31 Heron Wharf, Port Ellery", "US"),
+        ("S2-7", "Something Else", "31 Heron Wharf, Port Ellery, ME", "US"),
+        ("S3-8", "Third Matter", "640 Copper Hill, Dunmere", "US"),
     ]
-    assert found(spark, rows) == {("S1-1", "S2-201")}
+    assert found(spark, rows) == {("S1-1", "S2-7")}
+    # countries are apart unless asked otherwise
     rows = [
-        ("S1-1", "Global Tech", "100 First St", "US"),
-        ("S2-US-1", "Global Tech", "100 First St", "us "),
-        ("S2-IN-1", "Global Tech", "100 First St", "INDIA"),
+        ("S1-1", "Norvek Glass", "5 Kiln Yard", "Norway"),
+        ("S2-a", "Norvek Glass", "5 Kiln Yard", " norway"),
+        ("S2-b", "Norvek Glass", "5 Kiln Yard", "Chile"),
     ]
-    assert found(spark, rows) == {("S1-1", "S2-US-1")}
+    assert found(spark, rows) == {("S1-1", "S2-a")}
     assert len(found(spark, rows, DEFAULT.with_(partitioning="none"))) == 2
-    assert found(spark, rows, DEFAULT.with_(partitioning="fixed", countries=("INDIA",))) == set()
+    assert found(spark, rows, DEFAULT.with_(partitioning="fixed", countries=("CHILE",))) == set()
     # an unknown country meets everything, in the pass over unknown countries
     assert len(found(spark, [*rows, ("S2-X", "Nothing", "Else", None)])) == 2
+    # a name token, an address token and an n-gram each give a candidate, once
     rows = [
-        ("S1-1", "Apollo Medical", "777 Galaxy Way", "US"),
-        ("S2-1", "Apollo Healthcare", "111 First Ave", "US"),
-        ("S2-2", "Different Name", "777 Galaxy Way", "US"),
-        ("S2-3", "Apollovision", "999 Nowhere Rd", "US"),
+        ("S1-1", "Tamarind Optics", "12 Falcon Row", "US"),
+        ("S2-1", "Tamarind Bricks", "8 Elder Gate", "US"),
+        ("S2-2", "Plain Paper", "12 Falcon Row", "US"),
+        ("S2-3", "Tamarindello", "77 Nowhere", "US"),
+        ("S3-4", "Tamarind Optics", "12 Falcon Row", "US"),
     ]
-    assert {c for _, c in found(spark, rows)} == {"S2-1", "S2-2", "S2-3"}
-    nothing = [("S1-1", None, None, "US"), ("S2-NAN", None, None, "US"), ("S3-NAN", "NaN", "nan", "US")]
+    assert {c for _, c in found(spark, rows)} == {"S2-1", "S2-2", "S2-3", "S3-4"}
+    nothing = [("S1-1", None, "", "US"), ("S2-0", "", None, "US"), ("S3-0", "null", "none", "US")]
     assert found(spark, nothing) == set()
 
 
+def test_stored_index(spark, tmp_path):
+    rows, _ = business(spark, 15)
+    s1, others = (src.prepare(rows.where(f"role {op} 'S1'"), DEFAULT) for op in ("=", "<>"))
+    path = str(tmp_path / "index")
+    want = {tuple(r) for r in blocking.block(src.prepare(rows, DEFAULT), DEFAULT).collect()}
+    index = blocking.store_index(others, DEFAULT, path)
+    assert {tuple(r) for r in blocking.probe_index(s1, index, DEFAULT).collect()} == want
+    # a lost part is made again, a finished one kept; other parameters and damage are errors
+    sinks.FileMoves(spark, path).remove("counts")
+    with pytest.raises(ValueError, match="not complete"):
+        blocking.load_index(spark, DEFAULT, path)
+    blocking.store_index(others.where("false"), DEFAULT, path)
+    assert {tuple(r) for r in blocking.probe_index(s1, blocking.load_index(spark, DEFAULT, path), DEFAULT).collect()} == want
+    with pytest.raises(ValueError, match="other parameters"):
+        blocking.load_index(spark, DEFAULT.with_(name_cap=3), path)
+    others.limit(1).select("entity_id").toDF("x").withColumn("post_count", F.lit(1)).write.mode("overwrite").parquet(f"{path}/counts")
+    with pytest.raises(ValueError, match="damaged"):
+        blocking.load_index(spark, DEFAULT, path)
+
+
 def test_fallback_takes_the_rarest_token(spark):
     rows = [("S1-1", "Alpha Beta", "", "US")] + [(f"S2-{i}", "Alpha", "", "US") for i in range(4)] + [(f"S3-{i}", "Beta", "", "US") for i in range(3)]
     params = DEFAULT.with_(name_cap=2, ngram_cap=0)
@@ -171,8 +194,8 @@ def test_ranking(spark):
 
 def test_pair_features(spark):
     rows = [
-        ("S1-1", "Acme Logistics Inc", "100 Main St, New York, NY", "US"),
-        ("S2-1", "Acme Logistics LLC", "100 Main Street, New York, NY", "US"),
+        ("S1-1", "Osprey Timber Inc", "19 Quarry Rd, Millbeck", "US"),
+        ("S2-1", "Osprey Timbers LLC", "19 Quarry Road, Millbeck", "US"),
         ("S1-2", None, None, None),
         ("S3-2", None, None, None),
     ]
@@ -181,42 +204,48 @@ def test_pair_features(spark):
     got = {r.s1_id: r.asDict() for r in features.pair_features(pairs, prepared).collect()}
     assert all(len(r) == 2 + 33 for r in got.values()) and tuple(got["S1-1"])[2:] == FEATURE_NAMES
     a, b = got["S1-1"], got["S1-2"]
-    assert a["name_jaccard"] == 1.0 and a["addr_exact_match"] == 1.0 and a["addr_house_num_match"] == 1.0 and a["is_source3"] == 0.0
+    assert a["name_jaccard"] == pytest.approx(1 / 3) and a["name_containment"] == 0.5 and a["addr_exact_match"] == 1.0
+    assert a["addr_house_num_match"] == 1.0 and a["is_source3"] == 0.0 and a["name_prefix_match"] == 1.0
+    # "osprey timber inc" in "osprey timbers llc": all but "in" is common
+    assert a["name_lcs_ratio"] == pytest.approx(2 * 15 / (17 + 18))
     assert b["addr_null"] == 1.0 and b["addr_house_num_match"] == 0.5 and b["name_edit_sim"] == 1.0 and b["name_lcs_ratio"] == 0.0
     assert b["name_jaro_winkler"] == 1.0 and b["addr_jaro_winkler"] == 0.0 and b["country_match"] == 1.0 and b["is_source3"] == 1.0
 
 
 def test_decisions_and_scores(spark):
     scored = spark.createDataFrame(
-        [("S1-1", "S2-1", 0.95), ("S1-1", "S2-2", 0.20), ("S1-2", "S3-1", 0.85), ("S1-2", "S3-2", 0.40), ("S1-3", "S2-3", 0.15)],
+        [("S1-a", "S2-p", 0.91), ("S1-a", "S3-q", 0.905), ("S1-a", "S2-r", 0.33), ("S1-b", "S3-s", 0.62), ("S1-c", "S2-t", 0.08)],
         "s1_id string, cand_id string, prob double",
     )
-    truth = spark.createDataFrame([("S1-1", ["S2-1"]), ("S1-2", ["S3-1"]), ("S1-3", [])], "s1_id string, matches array<string>")
-    best = decide.grid_threshold(scored, truth, (0.3, 0.5, 0.7, 0.8)).first()
-    assert best.macro_f05 >= 0.99 and best.threshold >= 0.5
-    kept = decide.within_margin(scored, 0.8, 0.005, 7)
-    assert {(r.s1_id, r.cand_id) for r in kept.collect()} == {("S1-1", "S2-1"), ("S1-2", "S3-1")}
-    assert decide.over_threshold(scored, 0.2).count() == 4
+    truth = spark.createDataFrame([("S1-a", ["S2-p", "S3-q"]), ("S1-b", ["S3-s"]), ("S1-c", []), ("S1-d", ["S2-z"])], "s1_id string, matches array<string>")
+    # at 0.6 a and b are right, c is right to be alone, d is missed: 3 of 4
+    best = decide.grid_threshold(scored, truth, (0.05, 0.6, 0.91)).first()
+    assert best.macro_f05 == pytest.approx(0.75) and best.threshold == 0.6
+    kept = decide.within_margin(scored, 0.6, 0.001, 7)
+    assert {(r.s1_id, r.cand_id) for r in kept.collect()} == {("S1-a", "S2-p"), ("S1-b", "S3-s")}
+    assert decide.over_threshold(scored, 0.33).count() == 4
     predicted = decide.predictions(kept, truth)
-    assert {r.s1_id: r.matched_ids for r in predicted.collect()} == {"S1-1": ["S2-1"], "S1-2": ["S3-1"], "S1-3": []}
-    assert evaluate.macro_f05(predicted, truth).first()[0] == 1.0
+    assert {r.s1_id: r.matched_ids for r in predicted.collect()} == {"S1-a": ["S2-p"], "S1-b": ["S3-s"], "S1-c": [], "S1-d": []}
+    # a: precision 1, recall 1/2, F0.5 = 1.25 * 0.5 / (0.25 + 0.5) = 5/6
+    assert evaluate.macro_f05(predicted, truth).first()[0] == pytest.approx((5 / 6 + 1 + 1 + 0) / 4)
     assert evaluate.macro_f05(predicted, truth.where("false")).first()[0] == 0.0
-    cases = [([], [], 1.0), (["a"], [], 0.0), (["a", "b"], ["a", "b"], 1.0), (["a", "b", "x"], ["a", "b"], 0.7142857), ([], ["a"], 0.0)]
+    # two of four predicted are right, two of three found: 1.25 * (1/2 * 2/3) / (1/8 + 2/3)
+    cases = [([], [], 1.0), (["x"], [], 0.0), ([], ["x"], 0.0), (["x"], ["y"], 0.0), (["x", "y", "v", "w"], ["x", "y", "z"], 10 / 19)]
     df = spark.createDataFrame(cases, "p array<string>, t array<string>, f double")
     for r in df.select("f", evaluate.f05(F.col("p"), F.col("t")).alias("g")).collect():
         assert r.g == pytest.approx(r.f)
 
 
 def test_blocking_metrics(spark):
-    truth = spark.createDataFrame(
-        [("S1-1", ["S2-10", "S3-20"]), ("S1-2", ["S2-30", "S3-40", "S3-50"]), ("S1-3", ["S2-60"])], "s1_id string, matches array<string>"
-    )
+    truth = spark.createDataFrame([("S1-a", ["S2-p"]), ("S1-b", []), ("S1-c", ["S2-q", "S3-r", "S3-s"]), ("S1-d", ["S2-t"])], "s1_id string, matches array<string>")
     cands = spark.createDataFrame(
-        [("S1-1", "S2-10"), ("S1-1", "S3-20"), ("S1-1", "S2-99"), ("S1-2", "S2-30"), ("S1-2", "S3-99")], "s1_id string, cand_id string"
+        [("S1-a", "S2-p"), ("S1-a", "S2-x"), ("S1-a", "S2-y"), ("S1-a", "S2-z"), ("S1-b", "S2-x"), ("S1-c", "S3-r"), ("S1-c", "S3-s")],
+        "s1_id string, cand_id string",
     )
     got = evaluate.blocking_metrics(cands, truth).first()
-    assert (got.num_s1, got.total_true_matches, got.retained_true_matches, got.blocking_recall) == (3, 6, 3, 0.5)
-    assert (got.median_candidates, got.min_candidates, got.max_candidates) == (2, 0, 3)
+    assert (got.num_s1, got.total_true_matches, got.retained_true_matches, got.blocking_recall) == (4, 5, 3, 0.6)
+    # candidates per record: 4, 1, 2, 0
+    assert (got.avg_candidates, got.median_candidates, got.min_candidates, got.max_candidates) == (1.75, 1.5, 0, 4)
     empty = evaluate.blocking_metrics(cands.where("false"), truth.where("false")).first()
     assert all(v == 0 for v in empty)
 
@@ -269,17 +298,23 @@ def test_train_infer_publish(spark, tmp_path):
     ranked, matches = linkage.infer(rows, again, params)
     reports = linkage.publish(ranked, matches, rows, str(tmp_path / "out"))
     assert all(r["expected_rows"] == r["output_rows"] == 60 for r in reports.values())
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["candidate_pairs", "matching_results"]
+    with pytest.raises(FileExistsError):
+        linkage.publish(ranked, matches, rows, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="duplicate"):
+        linkage.publish(ranked, matches.unionByName(matches), rows, str(tmp_path / "bad"))
+    assert not any((tmp_path / "bad").iterdir())
 
 
 def test_stream_equals_batch_and_restarts(spark, tmp_path):
     rows, _ = business(spark, 20)
     s1 = rows.where("role = 'S1'").select("entity_id", "business_name", "business_address", "country")
     sinks.write_tsv(s1.limit(10), str(tmp_path / "in1"), single_file=True)
-    targets = src.prepare(rows.where("role <> 'S1'"), DEFAULT)
+    index = blocking.store_index(src.prepare(rows.where("role <> 'S1'"), DEFAULT), DEFAULT, str(tmp_path / "index"))
     (tmp_path / "in").mkdir()
 
     def run():
-        query = scoring.score_stream(scoring.stream_entities(spark, str(tmp_path / "in")), targets, DEFAULT, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query = scoring.score_stream(scoring.stream_entities(spark, str(tmp_path / "in")), index, DEFAULT, str(tmp_path / "out"), str(tmp_path / "cp"))
         query.awaitTermination()
 
     first = next((tmp_path / "in1").glob("*.csv"))
