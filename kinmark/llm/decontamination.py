@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -38,7 +39,6 @@ _TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20
     for c in range(256)
 )
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -102,9 +102,8 @@ class Keys:
 
 
 def _passes(keys: DataFrame) -> Iterator[Keys]:
-    """Distinct ``(w, h)`` in parts of about ``PASS_KEYS``; no part at all where there are none."""
-    n = keys.count()
-    parts = math.ceil(n / PASS_KEYS)
+    """Distinct ``(w, h)`` in parts of about ``PASS_KEYS``; one empty part where there are none."""
+    parts = max(1, math.ceil(keys.count() / PASS_KEYS))
     for p in range(parts):
         part = keys.where(F.pmod("h", F.lit(parts)) == p).toPandas()
         yield Keys(part["w"].to_numpy(), part["h"].to_numpy())
@@ -159,16 +158,7 @@ def shingle_counts(docs: DataFrame, keys: DataFrame, text_col: str = "text") ->
                     yield pa.RecordBatch.from_pydict(columns)
 
         parts.append(docs.select(text_col).mapInArrow(count, "w int, h long, n long"))
-    return _union(parts, docs, "w int, h long, n long").groupBy("w", "h").agg(F.sum("n").alias("n"))
-
-
-def _union(parts: list[DataFrame], docs: DataFrame, schema: str) -> DataFrame:
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts).groupBy("w", "h").agg(F.sum("n").alias("n"))
 
 
 def prefixes(distinct: DataFrame, counts: DataFrame) -> DataFrame:
@@ -186,18 +176,30 @@ def prefixes(distinct: DataFrame, counts: DataFrame) -> DataFrame:
 
 def places(docs: DataFrame, keys: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """``(k, n_words, w, h, places)``: for every row of ``docs`` (``k``, text) and each of the distinct shingles ``keys`` that
-    it holds, the places where it begins, each with the words around that a window could reach."""
+    it holds, the places where it begins, each with the words around that a window could reach. One row of ``w`` 0
+    for every row of ``docs`` has its number of words."""
     reach = window - 1
     key_type = docs.schema["k"].dataType.simpleString()
     schema = f"k {key_type}, n_words long, w int, h long, places array<struct<at:int,left:int,near:string>>"
     place_type = pa.list_(pa.struct([("at", pa.int32()), ("left", pa.int32()), ("near", pa.string())]))
     parts = []
     small_batches(docs.sparkSession)
-    for part in _passes(keys):
+    for number, part in enumerate(_passes(keys)):
 
-        def run(batches: Iterator[pa.RecordBatch], part: Keys = part) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], part: Keys = part, count: bool = number == 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, split in blocks_of([words_of(t) for t in raw_texts(batch, text_col)]):
+                    if count:
+                        n = len(split)
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "k": batch.column("k").slice(first, n),
+                                "n_words": pa.array([len(words) for words in split], pa.int64()),
+                                "w": pa.array(np.zeros(n, np.int32)),
+                                "h": pa.array(np.zeros(n, np.int64)),
+                                "places": pa.array([[]] * n, place_type),
+                            }
+                        )
                     starts = np.r_[0, np.cumsum([len(words) for words in split])]
                     for w, at, key in part.places(split):
                         doc = np.searchsorted(starts, at, side="right") - 1
@@ -219,7 +221,7 @@ def places(docs: DataFrame, keys: DataFrame, window: int = WINDOW, text_col: str
                             )
 
         parts.append(docs.select("k", text_col).mapInArrow(run, schema))
-    return _union(parts, docs, schema)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _near(words: list[bytes], at: list[int], width: int, reach: int) -> list[dict]:
@@ -245,16 +247,17 @@ def verified(found: DataFrame, rarest: DataFrame) -> DataFrame:
     return joined.where(F.size("begins") > 0)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
-    """``(k, n_words, n_hit, items)`` for every ``k`` of ``docs`` (``k``, text) in which a window occurs; rows of one ``k`` have
-    one text. ``items`` are the ids as text, sorted."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(k, n_words)`` for every row of ``docs`` (``k``, text), and ``(k, n_words, n_hit, items)`` for every ``k`` in which a
+    window occurs; rows of one ``k`` have one text. ``items`` are the ids as text, sorted."""
     every = cut(windows(benchmark, window))
     distinct = cut(every.groupBy("words", "l", "w").agg(F.first("shingles").alias("shingles")))
     keys = cut(distinct.select("w", F.explode("shingles").alias("h")).distinct())
     counts = cut(shingle_counts(docs, keys, text_col))
     rarest = cut(prefixes(distinct, counts))
     prefix_keys = cut(rarest.select("w", "h").distinct())
-    sure = cut(verified(places(docs, prefix_keys, window, text_col), rarest))
+    placed = cut(places(docs, prefix_keys, window, text_col))
+    sure = cut(verified(placed.where("w > 0"), rarest))
     runs = sure.select("k", "n_words", "l", F.explode("begins").alias("b")).distinct()
     end = F.lit(0).cast("long")
     covered = F.aggregate(
@@ -272,7 +275,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     out = cut(lengths.join(items, "k"))
     for table in (every, distinct, keys, counts, rarest, prefix_keys, sure):
         drop_table(table)
-    return out
+    return placed.where("w = 0").select("k", "n_words"), out
 
 
 def _key(text_col: str) -> Column:
@@ -291,15 +294,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     Texts and items of any length are compared whole. An empty benchmark leaves every document clean; an
     empty table gives an empty result. Other columns, whatever their names, are ignored.
     """
-    keyed = docs.select("doc_id", _key(text_col).alias("k"), F.col(text_col).alias("text"))
-    found = hits(keyed.select("k", "text"), benchmark, window).select("k", "n_hit", "items")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(_WORD)).cast("long")
+    every, found = hits(docs.select(_key(text_col).alias("k"), F.col(text_col).alias("text")), benchmark, window)
     items = F.coalesce("items", F.array().cast("array<string>"))
     return (
-        keyed.select("doc_id", "k", words.alias("n_words"))
-        .join(found, "k", "left")
+        every.join(found.drop("n_words"), "k", "left")
         .select(
-            "doc_id",
+            F.col("k.id").alias("doc_id"),
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.size(items).cast("long").alias("n_items"),
@@ -314,7 +314,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     texts stay; repeated rows go or stay together; an empty benchmark removes nothing."""
     name = unused(docs.columns, 1)[0]
     keyed = docs.withColumn(name, _key(text_col))
-    found = hits(keyed.select(F.col(name).alias("k"), F.col(text_col).alias("text")), benchmark, window)
+    _, found = hits(keyed.select(F.col(name).alias("k"), F.col(text_col).alias("text")), benchmark, window)
     bad = cut(found.where(_CONTAMINATED).select(F.col("k").alias(name)))
     few = bad.count() <= BROADCAST_KEYS
     return keyed.join(F.broadcast(bad) if few else bad, name, "left_anti").drop(name)
