@@ -198,3 +198,27 @@ def ftrl(rows: list, p) -> tuple[float, dict[int, float]]:
             zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / p.alpha * wb
             nb += g * g
     return -zb / ((p.beta + math.sqrt(nb)) / p.alpha), {f: weight(f) for f in use if weight(f)}
+
+
+def grams(text: str | None) -> set:
+    """Five-word shingles; a shorter text is one, a text without words has none."""
+    w = re.findall(f"[^{ASCII_SPACE}]+", lower(text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept(rows: list) -> set:
+    """Smallest id of each group over links at 2 bits or Jaccard 0.8, all pairs compared."""
+    prints, sets = [fingerprint(t) for _, t in rows], [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            near = sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[find(i)][0] for i in range(len(rows))}

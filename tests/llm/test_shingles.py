@@ -13,11 +13,6 @@ def words(rng: random.Random, n: int) -> list[str]:
     return ["".join(rng.choice("abdeiklnorstu") for _ in range(rng.randint(2, 8))) for _ in range(n)]
 
 
-def grams(text: str | None) -> set:
-    w = (text or "").lower().split()
-    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
 def changed(rng: random.Random, text: list[str], times: int) -> str:
     out = list(text)
     for i in rng.sample(range(len(out)), times):
@@ -25,24 +20,6 @@ def changed(rng: random.Random, text: list[str], times: int) -> str:
     return " ".join(out)
 
 
-def kept(rows: list) -> set:
-    """Smallest id of each group over links at 2 bits or Jaccard 0.8, all pairs compared."""
-    prints, sets = [brute.fingerprint(t) for _, t in rows], [grams(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            near = sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
-            if near or (prints[i] ^ prints[j]).bit_count() <= 2:
-                root[max(find(i), find(j))] = min(find(i), find(j))
-    return {rows[find(i)][0] for i in range(len(rows))}
-
-
 def test_stage_reaches_jaccard(spark):
     rng = random.Random(3)
     rows, base = [], [words(rng, rng.randint(60, 260)) for _ in range(25)]
@@ -52,7 +29,7 @@ def test_stage_reaches_jaccard(spark):
     rows += [changed(rng, hot, rng.randint(2, 6)) for _ in range(80)] + [" ".join(hot)] * 3
     rows += ["", None, "one two", "One  two", "one two three"]
     rows = list(enumerate(rows))
-    want = kept(rows)
+    want = brute.kept(rows)
     by_bits = set(brute.components([(i, brute.fingerprint(t)) for i, t in rows]).values())
     assert len(want) < len(by_bits) - 20
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
