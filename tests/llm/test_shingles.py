@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import pytest
 
 from kinmark.llm import shingles, simhash
 
@@ -20,7 +21,9 @@ def changed(rng: random.Random, text: list[str], times: int) -> str:
     return " ".join(out)
 
 
-def test_stage_reaches_jaccard(spark):
+@pytest.mark.parametrize("block", [shingles.BLOCK, 500])  # 500: some three sets, so hot keys have many blocks
+def test_stage_reaches_jaccard(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
     rng = random.Random(3)
     rows, base = [], [words(rng, rng.randint(60, 260)) for _ in range(25)]
     for text in base:
