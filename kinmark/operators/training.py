@@ -43,6 +43,22 @@ def head_split(truth: DataFrame, order: DataFrame, val_share: float) -> tuple[Da
     return placed.where(F.col("ordinal") <= border).drop("ordinal"), placed.where(F.col("ordinal") > border).drop("ordinal")
 
 
+def first_records(entities: DataFrame, n: int) -> DataFrame:
+    """All targets, and of S1 the first ``n`` records by ``ordinal``; the border is found as in :func:`head_split`."""
+    s1 = F.col("role") == "S1"
+    if n <= 0:
+        return entities.where(~s1)
+    border = entities.where(s1).select("ordinal").orderBy("ordinal").offset(n - 1).limit(1).first()
+    return entities if border is None else entities.where(~s1 | (F.col("ordinal") <= border["ordinal"]))
+
+
+def bounded_background(targets: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """The targets that ``needed`` (``cand_id``) names, and the first ``n`` others by ``ordinal`` (ties by id)."""
+    wanted = needed.select(F.col("cand_id").alias("entity_id")).distinct()
+    others = targets.join(wanted, "entity_id", "left_anti").orderBy("ordinal", "entity_id").limit(n)
+    return targets.join(wanted, "entity_id", "left_semi").unionByName(others)
+
+
 def training_pairs(candidates: DataFrame, truth: DataFrame, targets: DataFrame, negatives: int = 10) -> DataFrame:
     """``(s1_id, cand_id, label)``: every true match among the targets, blocked or not, and the first
     ``negatives`` other candidates of each record (by ``rank`` where there is one, then id)."""

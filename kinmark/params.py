@@ -44,3 +44,5 @@ class LinkParams:
 DEFAULT = LinkParams()
 TIGHT = DEFAULT.with_(name_cap=20, word_cap=15, shingle_cap=40, ngram_cap=10)
 TINY = DEFAULT.with_(name_cap=4, word_cap=3, shingle_cap=8, ngram_cap=2)
+#: How many targets without a true match the query ``background_scan`` keeps beside those with one.
+BACKGROUND = 20

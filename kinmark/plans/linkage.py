@@ -73,30 +73,33 @@ def infer(entities: DataFrame, model: PipelineModel, params: LinkParams = DEFAUL
 RESULTS = ("candidate_pairs", "matching_results")
 
 
-def publish(ranked: DataFrame, matches: DataFrame, entities: DataFrame, out: str) -> dict:
+def publish(ranked: DataFrame | None, matches: DataFrame, entities: DataFrame, out: str) -> dict:
     """Store both results once, verify what was stored, then publish both together.
 
     They are written under ``out/_pending``, verified from there, and only then moved to their names; where a check
     fails nothing is published. An existing result is never overwritten: it raises an error before any work.
+    Without ``ranked`` only the matches are stored.
     """
-    spark = ranked.sparkSession
+    spark = entities.sparkSession
     files = sinks.FileMoves(spark, out)
-    for name in RESULTS:
+    results = RESULTS if ranked is not None else RESULTS[1:]
+    for name in results:
         if files.exists(name):
             raise FileExistsError(f"{out}/{name} exists")
     ids = s1_ids(entities)
     files.remove("_pending")  # of an interrupted run
-    sinks.write_tsv(sinks.candidate_lines(ranked, ids, ranked=True), f"{out}/_pending/{RESULTS[0]}")
+    if ranked is not None:
+        sinks.write_tsv(sinks.candidate_lines(ranked, ids, ranked=True), f"{out}/_pending/{RESULTS[0]}")
     sinks.write_tsv(sinks.match_lines(matches, ids), f"{out}/_pending/{RESULTS[1]}")
     reports = {}
-    for name in RESULTS:
+    for name in results:
         written = spark.read.csv(f"{out}/_pending/{name}", sep="\t", header=True, schema="source1_entity_id string, ids string")
         reports[name] = sinks.verify_lines(written, ids).first().asDict()
     for name, report in reports.items():
         if report["missing_ids"] or report["duplicate_rows"] or report["unexpected_ids"]:
             files.remove("_pending")
             raise ValueError(f"{name}: {report}")
-    for name in RESULTS:
+    for name in results:
         files.move(f"_pending/{name}", name)
     files.remove("_pending")
     return reports

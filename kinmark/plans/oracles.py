@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kinmark.functions.fixed_values import ADDR_STOPWORDS, FEATURE_NAMES, LEGAL_STOPWORDS, NOT_IN_28, STREET_ABBREVIATIONS
-from kinmark.params import DEFAULT, TIGHT, TINY, LinkParams
+from kinmark.params import BACKGROUND, DEFAULT, TIGHT, TINY, LinkParams
 
 
 def _norm(x: str) -> str:
@@ -361,6 +361,10 @@ SELECT CAST(count(*) AS DOUBLE) AS num_s1, CAST(sum(m) AS DOUBLE) AS total_true_
     out["search_space_reduction"] = f"""{base()},{blocking(TIGHT)}, k AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cand),
 s AS (SELECT count(*) FILTER (WHERE role = 'S1') AS a, count(*) FILTER (WHERE role <> 'S1') AS b FROM e)
 SELECT n AS candidates, 100.0 * (1.0 - n / (CAST(a AS DOUBLE) * CAST(b AS DOUBLE))) AS reduction_pct, n / 100000.0 AS candidate_growth, CAST(0.95 AS DOUBLE) - CAST(0.9 AS DOUBLE) AS recall_change FROM k, s"""
+    out["background_scan"] = f"""{scored()}, named AS (SELECT DISTINCT unnest(matches) AS id FROM truth),
+t AS (SELECT entity_id, ordinal, entity_id IN (SELECT id FROM named) AS wanted FROM e WHERE role <> 'S1')
+SELECT entity_id FROM t WHERE wanted UNION ALL
+SELECT entity_id FROM (SELECT entity_id FROM t WHERE NOT wanted ORDER BY ordinal, entity_id LIMIT {BACKGROUND})"""
     out["training_pairs"] = f"""{scored()},
 cut AS (SELECT s1_id, matches FROM (SELECT t.*, row_number() OVER (ORDER BY e.ordinal) AS rn, count(*) OVER () AS n FROM truth t JOIN e ON e.entity_id = t.s1_id) WHERE rn <= CAST(floor(n * (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE))) AS BIGINT)),
 true_pairs AS (SELECT s1_id, unnest(matches) AS cand_id FROM cut)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinmark.functions import text, tokens
 from kinmark.functions.fixed_values import FEATURE_NAMES
 from kinmark.operators import blocking, decide, evaluate, features, ranking, training
-from kinmark.params import DEFAULT, TIGHT, TINY, LinkParams
+from kinmark.params import BACKGROUND, DEFAULT, TIGHT, TINY, LinkParams
 from kinmark.plans import linkage
 from kinmark.sources import entities as src
 from kinmark.sources import sinks
@@ -227,6 +227,13 @@ def grid_decision(spark, sf):
     return _grid_row(decide.grid_decision(scored(spark, sf), truth(spark, sf), (0.70, 0.75, 0.80, 0.85, 0.90, 0.95)))
 
 
+def background_scan(spark, sf):
+    """The targets that the truth names, and the first ``BACKGROUND`` others."""
+    targets = src.page_entities(spark, sf).where("role <> 'S1'")
+    needed = truth(spark, sf).select(F.explode("matches").alias("cand_id"))
+    return training.bounded_background(targets, needed, BACKGROUND).select("entity_id")
+
+
 def training_pairs(spark, sf):
     rows = pages(spark, sf)
     order = rows.where("role = 'S1'").select(F.col("entity_id").alias("s1_id"), "ordinal")
@@ -313,7 +320,7 @@ def queries() -> dict[str, Query]:
     for f in (
         norm_text, norm_address, norm_country, country_partitions, address_shingles, soundex_codes, token_counts,
         feat_house_numbers, ground_truth, macro_f05, f05_per_entity,
-        pair_metrics, blocking_metrics, search_space_reduction, grid_threshold, grid_decision, training_pairs,
+        pair_metrics, blocking_metrics, search_space_reduction, grid_threshold, grid_decision, background_scan, training_pairs,
         gbt_scores, matching_results, verify_output, stream_candidates,
     ):
         out[f.__name__] = f

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: str = ENTITY_SC
     return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in raw.columns])
 
 
+def read_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Records of several sources, ``paths`` by role, with ``role`` and ``ordinal``. Ordinals follow the lines of a
+    file: the start of a line's block, then its number within the task; two blocks of a task keep their order."""
+    names = [column.split()[0] for column in ENTITY_SCHEMA.split(", ")]
+    parts = []
+    for role, path in paths.items():
+        raw = spark.read.csv(path, sep="\t", header=True, schema=ENTITY_SCHEMA, quote='"', escape='"', enforceSchema=False)
+        line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ordinal = F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(11,0)") + line
+        parts.append(
+            raw.select(F.lit(role).alias("role"), *[F.coalesce(c, F.lit("")).alias(c) for c in names], ordinal.alias("ordinal"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return parse_ground_truth(read_tsv(spark, path, TRUTH_SCHEMA))
 
