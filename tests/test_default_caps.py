@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
+from kinmark.functions import text, tokens
+from kinmark.params import DEFAULT
+from kinmark.sources import entities as src
 
 
 def test_main_queries_have_the_default_caps(spark, tmp_path):
@@ -18,3 +23,30 @@ def test_main_queries_have_the_default_caps(spark, tmp_path):
     assert all(len(r.candidate_entity_ids.split(",")) == 62 for r in run["candidate_pairs_tsv"](spark, str(tmp_path)).collect())
     assert run["block_name_tight"](spark, str(tmp_path)).count() == 0
     assert {n + "_tight" for n in ("block_addr", "rank_counter_list_top50")} <= run.keys() & __spark_entry__.oracle_sql().keys()
+
+
+def test_batches_of_records_say_what_the_columns_say(spark):
+    """Whole records are tokenised in batches; lists of any record, odd ones included, are those of the expressions."""
+    odd = ["", None, " nan ", "(null)", "7th_y", "7th y 021ST 0 00", "¾ ﬂ ø Kth", "A & B+C@D", "12 Main St, Blvd N", "inc", "a b", "प्राइवेट घर", "x\x00y　"]
+    rows = [("S1", f"S1-{i}", a, b, a, i) for i, (a, b) in enumerate((a, b) for a in odd for b in odd)]
+    entities = spark.createDataFrame(
+        rows, "role string, entity_id string, business_name string, business_address string, country string, ordinal long"
+    )
+    for form, n, a in (("standardized", "n", "a"), ("raw", "business_name", "business_address")):
+        made = src.prepare(entities, DEFAULT.with_(address_form=form))
+        said = made.select(
+            F.col("n") == text.normalize_text("business_name"), F.col("a") == text.standardize_address_text("business_address"),
+            F.col("c") == text.normalize_country("country"), F.col("name_toks") == tokens.name_tokens(n),
+            F.col("addr_toks") == tokens.address_tokens(a), F.col("ngrams") == tokens.name_ngrams(n, 4),
+            F.col("feat_name_toks") == tokens.name_tokens("n"), F.col("feat_addr_toks") == tokens.address_tokens("a"),
+        )
+        assert {tuple(r) for r in said.collect()} == {(True,) * 8}
+
+
+def test_queries_over_documents_keep_no_lists(spark, tmp_path):
+    """Lists of all documents, kept by every executor, had taken the room of the work."""
+    rows = [(i, f"walbert {i}\nmekolin lane {i}", "en", f"src{i % 3}", 10) for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("block_addr_tight", "candidates_raw_addr_tight", "rank_counter_list_top50_tight"):
+        plan = __spark_entry__.queries()[name](spark, str(tmp_path))._jdf.queryExecution().withCachedData().toString()
+        assert "InMemoryRelation" not in plan, name
