@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from random import Random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from kinmark.functions import text, tokens
+from kinmark.operators import blocking, packed
 from kinmark.params import DEFAULT
 from kinmark.sources import entities as src
 
@@ -50,3 +54,39 @@ def test_queries_over_documents_keep_no_lists(spark, tmp_path):
     for name in ("block_addr_tight", "candidates_raw_addr_tight", "rank_counter_list_top50_tight"):
         plan = __spark_entry__.queries()[name](spark, str(tmp_path))._jdf.queryExecution().withCachedData().toString()
         assert "InMemoryRelation" not in plan, name
+
+
+def test_packed_postings_find_what_the_join_of_tokens_finds(spark):
+    """Blocking without fallback shuffles compressed indexes, not a row for every token."""
+    random = Random(3)
+    words = [f"{a}{b}" for a in ("kelt", "mora", "of", "07", "zürich") for b in range(9)]
+    rows = [
+        (("S1", "S2", "S3")[i % 3], f"{'S1' if i % 3 == 0 else 'S2'}-{i % 80}", " ".join(random.choices(words, k=2)), " ".join(random.choices(words, k=i % 9)), "AB"[i % 2], i)
+        for i in range(240)
+    ]
+    raw = spark.createDataFrame(
+        rows, "role string, entity_id string, business_name string, business_address string, country string, ordinal long"
+    )
+    for params in (DEFAULT.with_(name_cap=9, word_cap=8, shingle_cap=2, ngram_cap=6), DEFAULT.with_(partitioning="none")):
+        for kinds in (None, ("name",), ("word", "num", "shingle"), ("num",), ("ngram",)):
+            params = params.with_(fallback=False)
+            rows = src.prepare(raw, params)
+            parted = blocking.with_part(rows, params, False)
+            probes, postings = (blocking.token_rows(parted.where(w), params, i, kinds) for w, i in (("role = 'S1'", "s1_id"), ("role <> 'S1'", "cand_id")))
+            counts = blocking.token_counts(postings)
+            want = blocking._candidates(probes, postings, counts, parted, params).collect()
+            plan = blocking.block(rows, params, kinds, False)
+            assert sorted(plan.collect()) == sorted(want)
+            assert "generate explode" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_pairs_come_once_from_blocks_of_records(monkeypatch):
+    random = Random(4)
+    for cells in (1, 7, 50, 10_000):
+        monkeypatch.setattr(packed, "_CELLS", cells)
+        held = [sorted(random.sample(range(40), random.randint(1, 9))) for _ in range(12)]
+        many = np.array([len(x) for x in held])
+        asked = sorted((random.randrange(15), random.randrange(12)) for _ in range(60))
+        s, code = (np.array(x) for x in zip(*asked))
+        found = np.concatenate(list(packed._pairs(s, code, np.cumsum(many) - many, many, np.concatenate(held), 40)))
+        assert sorted(found.tolist()) == sorted({a * 40 + t for a, c in asked for t in held[c]})
