@@ -61,3 +61,31 @@ def test_lines_and_rankings_are_made_in_cells(spark, raw, monkeypatch):
     plan = ranking.rank_sides_by_overlap(*_sides(raw), CAPS, 6)
     assert sorted(plan.collect()) == want
     assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_get_only_postings_they_share(spark, raw, monkeypatch):
+    """Lines meet from several blocks of targets, and fallbacks are those of the joins, with many small blocks as well."""
+    assert packed.shape(_sides(raw), packed.Want("lines"))[2] > 1
+    for want in ("pairs", "lines"):
+        monkeypatch.setattr(packed, "shape", lambda sides, want: (16, 7, 5))
+        monkeypatch.setattr(blocking, "shape", lambda sides, want: (16, 7, 5))
+        found = _joined(raw, CAPS, False)
+        ids = raw.where("role = 'S1'").select(F.col("entity_id").alias("s1_id"))
+        made = sorted(blocking.packed_sides(*_sides(raw), CAPS, packed.Want(want)).collect())
+        assert made == sorted((found if want == "pairs" else sinks.candidate_lines(found, ids)).collect())
+
+
+def test_settled_records_pass_on_no_fallback():
+    """A record with a candidate in another bucket sends no token, and no posting of targets, to fall back on."""
+    import numpy as np
+    import pyarrow as pa
+
+    def stretch(side, number, lists):
+        held = packed._Lists()
+        held.add(pa.RecordBatch.from_pydict({"part": ["A"] * len(lists), "id": [f"{side}{i}" for i in range(len(lists))], "tokens": lists}))
+        return pa.Table.from_batches(packed._stretch(side, number, *held.ended(), 1, 1, False)).slice(0, 1)
+
+    rows = pa.concat_tables([stretch("s", 0, [["w_often"], ["w_often"]]), stretch("t", 1, [["w_often"]] * 9)])
+    for bits, held in ((None, {"s", "t"}), (np.packbits([1, 1]).tobytes(), set())):
+        known = rows.append_column("settled", pa.array([bits, None], pa.binary()))
+        assert {x[0] for x in packed._meet(known, 1, CAPS, packed.Want(), 1, 1)} == held
